@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rasterweave.llm.exact_dedup import exact_dedup
 from rasterweave.llm.mixing import mix_sources
+from rasterweave.llm.packing import pack_documents
+from rasterweave.llm.quality import fit_quality, score_quality
+from rasterweave.llm.token_store import read_tokens, token_folder, write_tokens
+from rasterweave.llm.tokens import WORD_BPE, tokenizer_path
+from rasterweave.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +22,31 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(_documents(spark, sf_dir), token_folder(spark), tokenizer_path(WORD_BPE), end_id=2)
+    return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(_documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=1, max_tokens=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_vector_packing, op6_toxicity_chain, op8_quality_trees, op10_source_mixing)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
