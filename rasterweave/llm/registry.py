@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from rasterweave.llm.exact_dedup import exact_dedup
 from rasterweave.llm.mixing import mix_sources
+from rasterweave.llm.near_join import near_components
 from rasterweave.llm.packing import pack_documents
 from rasterweave.llm.quality import fit_quality, score_quality
+from rasterweave.llm.spans import remove_repeats
 from rasterweave.llm.token_store import read_tokens, token_folder, write_tokens
 from rasterweave.llm.tokens import WORD_BPE, tokenizer_path
 from rasterweave.llm.toxicity import fit_toxicity, score_toxicity
@@ -37,16 +39,24 @@ def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return score_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_vector_packing, op6_toxicity_chain, op8_quality_trees, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_vector_packing, op6_toxicity_chain, op7_ngram_jaccard, op8_quality_trees, op9_sentence_spans, op10_source_mixing)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
