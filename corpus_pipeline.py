@@ -1,16 +1,51 @@
-"""A training-corpus pipeline of the corpus operators; each stage's result is written and read again."""
+"""A training-corpus pipeline: toxic documents go, copies and near copies go, sources are mixed, tokens are packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read as the next
+stage's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterweave.llm.exact_dedup import drop_copies
+from rasterweave.llm.mixing import mixed_documents
+from rasterweave.llm.near_join import one_of_each
+from rasterweave.llm.packing import pack_documents
+from rasterweave.llm.shared import materialize
+from rasterweave.llm.tokens import WORD_BPE, tokenizer_path
+from rasterweave.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_copies(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return one_of_each(docs)
 
-STAGES: list = []
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = pack_documents(docs, tokenizer_path(WORD_BPE), end_id=1, max_tokens=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mixing), ("packing", packing)]
+
+#: No SQL: the classifier chain and the tokenizer are outside of it; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from rasterweave.llm.shared import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")

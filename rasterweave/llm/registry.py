@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.llm.ann import search
 from rasterweave.llm.exact_dedup import exact_dedup
 from rasterweave.llm.mixing import mix_sources
 from rasterweave.llm.near_join import near_components
 from rasterweave.llm.packing import pack_documents
+from rasterweave.llm.pseudonyms import private_values
 from rasterweave.llm.quality import fit_quality, score_quality
 from rasterweave.llm.spans import remove_repeats
 from rasterweave.llm.token_store import read_tokens, token_folder, write_tokens
@@ -29,11 +31,19 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_values(_documents(spark, sf_dir))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(_documents(spark, sf_dir), tokenizer_path(WORD_BPE), end_id=1, max_tokens=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return score_toxicity(docs, fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -56,7 +66,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op4_vector_packing, op6_toxicity_chain, op7_ngram_jaccard, op8_quality_trees, op9_sentence_spans, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_files, op3_feistel_pseudonyms, op4_vector_packing, op5_additive_quantisation, op6_toxicity_chain, op7_ngram_jaccard, op8_quality_trees, op9_sentence_spans, op10_source_mixing)}
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
