@@ -1,10 +1,10 @@
 """N-gram Jaccard join by prefix filters under several global orders, with components of the links.
 
 A document's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets are one class from the start. A pair
-with Jaccard similarity t or more shares a token among the first n - ceil(t n) + 1 of each set, whatever the global
-order of tokens; so candidates must share one under each of several orders, and the filters are intersected before
-a pair is verified. All orders put frequent tokens last (by counts over the whole table) and differ in how they
-order the rest.
+with Jaccard similarity t or more shares at least m tokens among the first n - ceil(t n) + m of each set, whatever the
+global order of tokens: the first m that it has in common come no later. So candidates must do so under each of
+several orders, with m growing with the set (``depth``), and the filters are intersected before a pair is verified.
+All orders put frequent tokens last (by counts over the whole table) and differ in how they order the rest.
 
 1. Sets: class, size, the smallest token hashes, and counts of tokens that a task meets in several documents.
 2. Neighbourhoods: classes whose smallest hashes agree in part gather around a common class, so that a group of near
@@ -45,6 +45,8 @@ FREQUENT_ONE_IN = 5_000
 #: Seeds of the orders.
 ORDERS = (11, 23, 37)
 CELLS = 256
+#: Documents handled at once, tokens whose repeats a task counts at once, and prefix tokens held before they are sent.
+SLICE, COUNTED, HELD = 500, 3_000_000, 1_500_000
 #: Classes of a block of a neighbourhood; larger ones are compared block by block.
 BLOCK_CLASSES = 2_000
 
@@ -78,8 +80,13 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def depth(n):
+    """Tokens that prefixes must share: more for larger sets, where one token in common tells little."""
+    return 1 + n // 32
+
+
 def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
-    return n - -(-threshold * n // 100) + 1
+    return min(n, n - -(-threshold * n // 100) + depth(n))
 
 
 class TokenOrders:
@@ -97,7 +104,7 @@ class TokenOrders:
             at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
             common = np.where(self.tokens[at] == own, self.counts[at], 0)
         rare = np.flatnonzero(common == 0)
-        if len(rare) >= p:
+        if len(rare) > p:
             return own[rare[np.argpartition(key[rare], p - 1)[:p]]]
         return own[np.lexsort((key, common))[:p]]
 
@@ -126,11 +133,13 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, orders
             total += m[:cut] @ (m if right is None else m[cut:]).T
         return total
 
+    deep = depth(n)
+    need = np.minimum(deep[:cut, None], deep if right is None else deep[cut:])
     candidate = np.ones((cut, cut if right is None else len(sets) - cut), bool)
     if right is None:
         candidate &= np.triu(candidate, 1)
     for seed in ORDERS:
-        candidate &= shared([orders.prefix(s, seed, threshold) if len(s) else s for s in sets]) > 0
+        candidate &= shared([orders.prefix(s, seed, threshold) if len(s) else s for s in sets]) >= need
         if not candidate.any():
             return np.zeros((0, 2), np.int64)
     i, j = np.nonzero(candidate)
@@ -173,21 +182,23 @@ def _sets(rows: DataFrame) -> DataFrame:
 
         held, seen = 0, set()
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            classes = [class_of(s) for s in sets]
-            sketches = [np.sort(mix(s ^ np.uint64(3)))[:SKETCH].astype(np.int64) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
-                names=["kind", "doc_id", "n", "class", "sketch"],
-            )
-            for c, s in zip(classes, sets, strict=True):
-                if c not in seen:
-                    seen.add(c)
-                    tokens.append(s)
-                    held += len(s)
-            if held > 8_000_000:
-                yield counted()
-                tokens, held, seen = [], 0, set()
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                sets = shingle_sets(part.column(1).to_pylist())
+                classes = [class_of(s) for s in sets]
+                sketches = [np.sort(mix(s ^ np.uint64(3)))[:SKETCH].astype(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
+                    names=["kind", "doc_id", "n", "class", "sketch"],
+                )
+                for c, s in zip(classes, sets, strict=True):
+                    if c not in seen:
+                        seen.add(c)
+                        tokens.append(s)
+                        held += len(s)
+                if held > COUNTED:
+                    yield counted()
+                    tokens, held, seen = [], 0, set()
         yield counted()
 
     return rows.mapInArrow(run, "kind int, doc_id long, n long, class long, sketch array<long>")
@@ -213,7 +224,7 @@ def _neighbourhoods(classes: DataFrame) -> DataFrame:
 
 
 def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.ndarray, threshold: int):
-    """Blocks of (class, class) that share a token, are of different neighbourhoods and near enough in size."""
+    """Blocks of (class, class, tokens needed) that share a token, are of different neighbourhoods and near enough in size."""
     order = np.lexsort((cls, hub, token))
     token, cls, hub, size = token[order], cls[order], hub[order], size[order]
     new = np.append(True, token[1:] != token[:-1])
@@ -233,7 +244,7 @@ def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.n
         small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
         near = 100 * small >= threshold * large
         a, b = cls[i[near]], cls[j[near]]
-        yield np.minimum(a, b), np.maximum(a, b)
+        yield np.minimum(a, b), np.maximum(a, b), depth(small[near])
         at = upto
 
 
@@ -273,15 +284,15 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([alone] * len(some), pa.bool_()), pa.array(packed, pa.binary())], names=["bucket", "alone", "packed"])
 
         for batch in batches:
-            texts, named, hub = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(texts), 1000):
-                for k, own in enumerate(shingle_sets(texts[at : at + 1000])):
+            named, hub = (batch.column(i).to_pylist() for i in (1, 2))
+            for at in range(0, batch.num_rows, SLICE):
+                for k, own in enumerate(shingle_sets(batch.slice(at, SLICE).column(0).to_pylist())):
                     if len(own):
                         c = class_of(own)
                         p = known.prefix(own, ORDERS[0], threshold)
                         held.append((p, np.full(len(p), c, np.int64), np.full(len(p), hub[at + k] if named[at + k] == c else c, np.int64), np.full(len(p), len(own), np.uint32)))
                         size += len(p)
-            if size > 4_000_000:
+            if size > HELD:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -302,28 +313,35 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             token, cls, size, hub = token[~same], cls[~same], size[~same], hub[~same]
             again = token[1:] == token[:-1]
             shared = np.append(again, False) | np.append(False, again)
-            found: list[np.ndarray] = []
-            for a, b in _pairs_apart(token[shared], cls[shared], hub[shared], size[shared].astype(np.int64), threshold):
-                found.append(np.unique(np.stack([a, b], 1), axis=0))
-                if sum(map(len, found)) > 4_000_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if len(found[0]) > 2_000_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], names=["a", "b"])
-                        found = []
+            found: list[tuple] = []
+
+            def counted():
+                a, b, need = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((b, a))
+                a, b, need = a[order], b[order], need[order]
+                at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+                n = np.diff(np.append(at, len(a)))
+                return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n.astype(np.int64)), pa.array(need[at].astype(np.int64))], names=["a", "b", "n", "need"])
+
+            for part in _pairs_apart(token[shared], cls[shared], hub[shared], size[shared].astype(np.int64), threshold):
+                found.append(part)
+                if sum(len(x[0]) for x in found) > 2_000_000:
+                    yield counted()
+                    found = []
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+                yield counted()
 
     labelled = sized_join(texts, placed, texts["doc_id"].eqNullSafe(placed["__id"]), "left").select("text", "__class", "hub")
     dealt = labelled.mapInArrow(prefixes, "bucket int, alone boolean, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    apart = materialize(dealt.mapInArrow(meet, "a long, b long").distinct(), "near-apart")
+    met = dealt.mapInArrow(meet, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    apart = materialize(met.filter("n >= need").select("a", "b"), "near-apart")
 
     # The sets of all classes that are compared, each once.
     compared = apart.select(F.col("a").alias("class")).unionByName(apart.select(F.col("b").alias("class"))).unionByName(hubs.select("class")).distinct()
     compared = materialize(classes.join(compared, "class").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class")), "near-compared")
 
     def tokens(batches):
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             sets = shingle_sets(batch.column("text").to_pylist())
             keep = [k for k, (s, c) in enumerate(zip(sets, batch.column("__class").to_pylist(), strict=True)) if class_of(s) == c]
             cells = [np.minimum(np.bincount((sets[k] >> np.uint64(24)) % np.uint64(CELLS), minlength=CELLS), 255).astype(np.uint8).tobytes() for k in keep]
@@ -357,7 +375,14 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
 
     likely = apart.join(side("a", ["n", "cells"]), "a").join(side("b", ["n", "cells"]), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(possible, "a long, b long")
     likely = materialize(likely, "near-likely")
-    crossing = likely.join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
+    # Whole sets travel only for the pairs that are left, and to their neighbourhood's block.
+    verified = materialize(likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct(), "near-verified")
+    sets_of_pairs = sized_join(sets_of.select("class", "tokens"), verified, "class", "left_semi")
+
+    def whole(name: str) -> DataFrame:
+        return sets_of_pairs.select(F.col("class").alias(name), F.col("tokens").alias(f"tokens_{name}")).hint("merge")
+
+    crossing = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
 
     def inside(batches):
         known = shared_orders.value
@@ -376,8 +401,8 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
     sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hub", F.ceil(F.col("m") / BLOCK_CLASSES).cast("int").alias("k"))
     members = hubs.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = members.select("hub", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class")
-    members = members.join(sets_of.select("class", "tokens").hint("merge"), "class").select("hub", "low", "high", "part", "class", "tokens")
+    members = materialize(members.select("hub", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class"), "near-members")
+    members = sized_join(sets_of.select("class", "tokens"), members, "class", "inner").select("hub", "low", "high", "part", "class", "tokens")
     members = members.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
     links = materialize(members.mapInArrow(inside, "a long, b long").unionByName(crossing), "near-links")
     return documents.drop("sketch"), links
