@@ -76,4 +76,34 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op7_ngram_jaccard": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])
+                                         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n""",
+    "op10_source_mixing": r"""
+        WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+        u AS (SELECT *, (('0x' || substr(md5('7:' || doc_id || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM z),
+        s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
+        s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM s0),
+        s2 AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1]::DOUBLE AS weight, source_size * 3::DOUBLE AS most FROM s1),
+        s3 AS (SELECT *, (sum(source_size) OVER ())::DOUBLE AS total, coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given,
+                      sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight FROM s2),
+        s4 AS (SELECT *, given + most / weight * open_weight <= total AS full_ FROM s3),
+        s5 AS (SELECT source, source_size, CASE WHEN full_ THEN most ELSE (total - sum(CASE WHEN full_ THEN most ELSE 0 END) OVER ()) * weight / sum(CASE WHEN full_ THEN 0 ELSE weight END) OVER () END AS target FROM s4),
+        s6 AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS due FROM s5),
+        s7 AS (SELECT *, floor(due + 1e-9::DOUBLE) AS whole, greatest(0, due - floor(due + 1e-9::DOUBLE)) AS p FROM s6),
+        s8 AS (SELECT *, greatest(0, target - whole * source_size) AS open_words FROM s7),
+        r AS (SELECT u.*, s.source_size, s.target, s.whole, s.open_words, CASE WHEN p > 1e-9 THEN u / (1 - u) / (p / (1 - p)) END AS rank FROM u JOIN s8 s ON u.source IS NOT DISTINCT FROM s.source),
+        c AS (SELECT *, rank IS NOT NULL AND sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS UNBOUNDED PRECEDING) <= open_words AS chosen FROM r),
+        g AS (SELECT *, open_words - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM c),
+        k AS (SELECT *, NOT chosen AND rank IS NOT NULL AND size > 0 AND abs(size - gap) < gap AS fits FROM g),
+        f AS (SELECT *, fits AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(size - gap), doc_id, size) = 1 AS closes FROM k)
+        SELECT doc_id, size, source_size, target, ((whole + CASE WHEN chosen OR closes THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM f""",
 }
