@@ -17,33 +17,38 @@ ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
 def _stacks(batch: pa.RecordBatch, planes: list[str]):
-    """(image ids, planes as (n, h, w)) of each size in a batch."""
+    """(image ids, planes as (n, h, w), places in the batch) of each size in a batch."""
     width, height = (np.asarray(batch.column(c)) for c in ("width", "height"))
     ids = np.asarray(batch.column("image_id"))
     shapes = np.unique(np.stack([height, width], 1), axis=0) if len(ids) else []
     for h, w in shapes:
         rows = pa.array(np.flatnonzero((height == h) & (width == w)))
         part = [np.asarray(batch.column(p).take(rows).flatten()).reshape(len(rows), h, w) for p in planes]
-        yield ids[np.asarray(rows)], part
+        yield ids[np.asarray(rows)], part, rows
 
 
-def to_pixels(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes: tuple[str, ...] = ("p",)) -> DataFrame:
-    """Pixel rows (image_id, y, x, outputs) of ``kernel(*stacks)``, which gives an (n, h, w) array for each output."""
+def to_pixels(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes: tuple[str, ...] = ("p",), carry: dict[str, str] | None = None) -> DataFrame:
+    """Pixel rows (image_id, y, x, outputs) of ``kernel(*stacks)``, which gives an (n, h, w) array for each output.
+
+    ``carry``: other columns of the images, and their types, repeated for each pixel.
+    """
+    carry = carry or {}
     names, kinds = list(outputs), [ARROW[k] for k in outputs.values()]
 
     def run(batches):
         for batch in batches:
-            for ids, stacks in _stacks(batch, list(planes)):
+            for ids, stacks, rows in _stacks(batch, list(planes)):
                 found = kernel(*stacks)
                 found = found if isinstance(found, tuple) else (found,)
                 n, h, w = found[0].shape
                 y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, h * w)), pa.array(np.tile(y, n)), pa.array(np.tile(x, n)), *(pa.array(f.ravel()).cast(k) for f, k in zip(found, kinds, strict=True))], names=["image_id", "y", "x", *names]
+                    [pa.array(np.repeat(ids, h * w)), pa.array(np.tile(y, n)), pa.array(np.tile(x, n)), *(pa.array(f.ravel()).cast(k) for f, k in zip(found, kinds, strict=True)), *(batch.column(c).take(rows.take(pa.array(np.repeat(np.arange(n), h * w)))) for c in carry)],
+                    names=["image_id", "y", "x", *names, *carry],
                 )
 
-    schema = "image_id long, y int, x int, " + ", ".join(f"{n} {k}" for n, k in outputs.items())
-    return images.select("image_id", "width", "height", *planes).mapInArrow(run, schema)
+    schema = "image_id long, y int, x int, " + ", ".join(f"{n} {k}" for n, k in (outputs | carry).items())
+    return images.select("image_id", "width", "height", *planes, *carry).mapInArrow(run, schema)
 
 
 def to_rows(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes: tuple[str, ...] = ("p",)) -> DataFrame:
@@ -52,7 +57,7 @@ def to_rows(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes
 
     def run(batches):
         for batch in batches:
-            for ids, stacks in _stacks(batch, list(planes)):
+            for ids, stacks, _ in _stacks(batch, list(planes)):
                 found = kernel(*stacks)
                 found = found if isinstance(found, tuple) else (found,)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.asarray(f)).cast(k) for f, k in zip(found, kinds, strict=True))], names=["image_id", *names])

@@ -13,6 +13,7 @@ from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform, segment
 from rasterweave.operators.dense import dense_rgb, to_pixels, to_rows
+from rasterweave.operators.tiles import run_tiled
 from rasterweave.plans import runtime
 from rasterweave.sources import fixtures as fx
 from rasterweave.sources import images, jpeg
@@ -386,6 +387,11 @@ def filter2d_relational(spark, d):
     return out.select("image_id", "y", "x", F.col("v").cast("long").alias("v"))
 
 
+@query(f"WITH {PX}, {_kernel_cte('k', SMOOTH)}, f AS ({_edge_sql('k')}) SELECT image_id, y, x, v::BIGINT AS v FROM f")
+def filter2d_tiled(spark, d):
+    return run_tiled(fx.px8(spark, d), lambda s: np.rint(kernels.correlate(s, SMOOTH)), "long", 4, 1)
+
+
 @query(f"WITH {PX}, {_kernel_cte('k', np.outer([1, 0, 3], LINE))}, f AS ({_edge_sql('k')}) SELECT image_id, y, x, v / 16 + 5 AS v FROM f")
 def sep_filter2d(spark, d):
     return _dense(spark, d, lambda s: kernels.separable(s, LINE, np.array([1.0, 0, 3.0]), 1 / 16, 5.0), "double")

@@ -17,6 +17,7 @@ from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform, segment
 from rasterweave.operators.dense import to_pixels, to_rows
+from rasterweave.operators.tiles import run_tiled
 from rasterweave.schema import DEPTH, num_channels, require
 from rasterweave.sources import images as sources
 from rasterweave.sources import jpeg
@@ -76,6 +77,11 @@ class ImageFrame:
         out = to_pixels(self.dense(), lambda *s: tuple(f(x) for x in s), {c: kind for c in self.columns}, names)
         return self._with(out, None, size)
 
+    def tiled(self, kernel: Callable, kind: str, tile: int, margin: int) -> "ImageFrame":
+        """A kernel that looks no further than ``margin``, tile by tile: for images too large for one row."""
+        self._gray()
+        return self._with(run_tiled(self.px, kernel, kind, tile, margin))
+
     # --- points -------------------------------------------------------------------------------------------------
 
     def negative(self):

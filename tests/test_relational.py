@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform
+from rasterweave.operators.tiles import run_tiled
 from rasterweave.plans.frame import ImageFrame
 from rasterweave.schema import DipError
 from rasterweave.sources import images
@@ -111,6 +112,15 @@ def test_relational_form_equals_dense(spark, size):
         assert (stack_of(longform.morphology(rows_of(spark, bright), element, how, 7, 6), 2, 6, 7) == f(bright, element)).all()
 
 
+@pytest.mark.parametrize("tile", [4, 16])
+def test_tiles_give_the_whole_image(spark, tile):
+    stack = np.random.default_rng(7).integers(0, 256, (2, 11, 13))
+    px = rows_of(spark, stack)
+    weights = np.arange(9.0).reshape(3, 3)
+    for f, kind in ((lambda s: kernels.correlate(s, weights), "double"), (lambda s: kernels.median(s, 3), "double"), (lambda s: kernels.erode(s > 60, np.ones((3, 3))), "int")):
+        assert np.allclose(stack_of(run_tiled(px, f, kind, tile, 1), 2, 11, 13), f(stack))
+
+
 def test_spectrum_forms_agree(spark):
     stack = np.random.default_rng(5).integers(0, 256, (1, 8, 8))
     out = longform.dft(rows_of(spark, stack), 8)
