@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.llm.shared import materialize
+from rasterweave.llm.streams import trimmed
 
 #: Vectors that the codebooks are fitted on at most, books, entries of a book, codes kept by the beam.
 SAMPLE_ROWS = 16_384
@@ -126,7 +127,7 @@ def search(
             norms = np.linalg.norm(q.decode(codes), axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "v", "code", "norm"])
 
-    index = materialize(found.mapInArrow(encode, "vec_id long, v array<double>, code binary, norm float"), "ann-index")
+    index = materialize(found.mapInArrow(trimmed(encode), "vec_id long, v array<double>, code binary, norm float"), "ann-index")
     queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
     blocks = max(1, -(-queries.count() // query_rows))
     results = None
@@ -178,7 +179,7 @@ def search(
                 qs = np.concatenate([np.full(len(e), ids[i], np.int64) for i, (e, _) in best.items()])
                 yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(np.concatenate([w for _, w in best.values()])), pa.array(np.concatenate([e for e, _ in best.values()]))], names=["query_id", "vec_id", "score"])
 
-        part = index.mapInArrow(run, schema)
+        part = index.mapInArrow(trimmed(run), schema)
         results = part if results is None else results.unionByName(part)
     if results is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

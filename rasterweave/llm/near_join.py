@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm.components import components
-from rasterweave.llm.shared import materialize, sized_join
-from rasterweave.llm.streams import sorted_groups
+from rasterweave.llm.shared import materialize, sized_join, text_batches
+from rasterweave.llm.streams import sorted_groups, trimmed
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, mix, word_hashes
 
 WORDS = 5
@@ -165,7 +165,7 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     tokens, held, seen = [], 0, set()
         yield counted()
 
-    return rows.mapInArrow(run, "kind int, doc_id long, n long, class long, sketch array<long>")
+    return rows.mapInArrow(trimmed(run), "kind int, doc_id long, n long, class long, sketch array<long>")
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
 
     classes = materialize(documents.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch")), "near-classes")
     hubs = _neighbourhoods(classes)
-    placed = materialize(documents.join(hubs, "class").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), "hub").distinct(), "near-placed")
+    placed = materialize(sized_join(documents, hubs, "class", "inner").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), "hub").distinct(), "near-placed")
 
     def prefixes(batches):
         held, size = [], 0
@@ -332,8 +332,8 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
                 yield counted()
 
     labelled = sized_join(texts, placed, texts["doc_id"].eqNullSafe(placed["__id"]), "left").select("text", "__class", "hub")
-    dealt = labelled.mapInArrow(prefixes, "bucket int, alone boolean, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(meet, "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    dealt = labelled.mapInArrow(trimmed(prefixes), "bucket int, alone boolean, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    met = dealt.mapInArrow(trimmed(meet), "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     apart = materialize(met.filter("n >= need").select("a", "b"), "near-apart")
 
     # The sets of all classes that are compared, each once.
@@ -351,7 +351,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             )
 
     wanted = sized_join(texts, compared, texts["doc_id"].eqNullSafe(compared["__id"]), "inner").select("__class", "text")
-    sets_of = materialize(wanted.mapInArrow(tokens, "class long, n long, cells binary, tokens binary"), "near-tokens")
+    sets_of = materialize(wanted.mapInArrow(trimmed(tokens), "class long, n long, cells binary, tokens binary"), "near-tokens")
 
     def possible(batches):
         for batch in batches:
@@ -373,7 +373,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             linked = [len(links_between([np.frombuffer(x, np.uint64)], [np.frombuffer(y, np.uint64)], known, threshold)) > 0 for x, y in zip(a, b, strict=True)]
             yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    likely = apart.join(side("a", ["n", "cells"]), "a").join(side("b", ["n", "cells"]), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(possible, "a long, b long")
+    likely = apart.join(side("a", ["n", "cells"]), "a").join(side("b", ["n", "cells"]), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(trimmed(possible), "a long, b long")
     likely = materialize(likely, "near-likely")
     # Whole sets travel only for the pairs that are left, and to their neighbourhood's block.
     verified = materialize(likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct(), "near-verified")
@@ -382,7 +382,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
     def whole(name: str) -> DataFrame:
         return sets_of_pairs.select(F.col("class").alias(name), F.col("tokens").alias(f"tokens_{name}")).hint("merge")
 
-    crossing = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
+    crossing = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(trimmed(verify), "a long, b long")
 
     def inside(batches):
         known = shared_orders.value
@@ -404,7 +404,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
     members = materialize(members.select("hub", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class"), "near-members")
     members = sized_join(sets_of.select("class", "tokens"), members, "class", "inner").select("hub", "low", "high", "part", "class", "tokens")
     members = members.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
-    links = materialize(members.mapInArrow(inside, "a long, b long").unionByName(crossing), "near-links")
+    links = materialize(members.mapInArrow(trimmed(inside), "a long, b long").unionByName(crossing), "near-links")
     return documents.drop("sketch"), links
 
 

@@ -18,7 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.tokens import encoder
+from rasterweave.llm.shared import text_batches
+from rasterweave.llm.streams import trimmed
+from rasterweave.llm.tokens import SLICE, encoder
 
 #: Examples that wait at once in a task; the heuristic looks at all of them for each placement.
 WAITING = 1024
@@ -132,7 +134,7 @@ def pack_documents(
     bear loss. ``max_loss``: most loss-bearing tokens of a sequence; None: as many as tokens.
     """
     loss_from = F.coalesce(F.col(loss_from_col).cast("long"), F.lit(0)) if loss_from_col else F.lit(0).cast("long")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), loss_from.alias("prompt"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), loss_from.alias("prompt"))
     limits = (max_tokens, max_segments, max_loss or max_tokens)
 
     def run(batches):
@@ -157,23 +159,23 @@ def pack_documents(
                     else:
                         held[key] = (doc_id, ids, left - n)
                 sequence += 1
-                if len(cols[0]) >= 2000:
+                if len(cols[0]) >= 500:
                     yield table(cols)
                     cols = [[] for _ in range(7)]
             if cols[0]:
                 yield table(cols)
 
         for batch in batches:
-            doc_ids, texts, prompts = (batch.column(i).to_pylist() for i in range(3))
-            for at in range(0, len(texts), 2000):
-                ids, counts = encode(texts[at : at + 2000])
+            for at in range(0, batch.num_rows, SLICE):
+                doc_ids, texts, prompts = (batch.column(i).slice(at, SLICE).to_pylist() for i in range(3))
+                ids, counts = encode(texts)
                 ends = np.cumsum(counts)
                 items = np.zeros((len(counts), 4), np.int64)
                 for k, (stop, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
                     own = np.empty(n + 1, ids.dtype)
                     own[:n], own[n] = ids[stop - n : stop], end_id
-                    held[serial] = (doc_ids[at + k], own, n + 1)
-                    items[k] = (serial, 0, n + 1, max(0, n + 1 - prompts[at + k]))
+                    held[serial] = (doc_ids[k], own, n + 1)
+                    items[k] = (serial, 0, n + 1, max(0, n + 1 - prompts[k]))
                     serial += 1
                 yield from rows_of(packer.take(items))
         rest = list(packer.take(np.zeros((0, 4), np.int64), last=True))
@@ -184,4 +186,4 @@ def pack_documents(
         kinds = [pa.int64()] * 6 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(trimmed(run), SCHEMA)

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 #: Most rows of a side that may be broadcast; wider sides take the shuffled join instead.
 BROADCAST_ROWS = 400_000
 
+#: Rows of a batch that goes to Python; whole texts are large, and a batch lies in memory on both sides.
+BATCH_ROWS = 1_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -38,6 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session set to send Python at most ``BATCH_ROWS`` rows at once (fewer if it is set so)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key)) > BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     spark = df.sparkSession

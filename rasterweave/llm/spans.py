@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize, sized_join
-from rasterweave.llm.streams import sorted_groups
+from rasterweave.llm.shared import materialize, sized_join, text_batches
+from rasterweave.llm.streams import sorted_groups, trimmed
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, mix, word_hashes
 
 MIN_WORDS, MIN_SENTENCES, CUT_EVERY = 20, 2, 10
 #: Spans that a task holds before it sends them on.
-HELD = 4_000_000
+HELD = 1_500_000
 
 _SPAN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _RANGE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
@@ -127,7 +127,7 @@ def _unpacked(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """Byte ranges to remove: doc_id (null: the smallest long), tag (of the text), ranges (packed pairs of uint32)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("tag"), F.col("text").cast("binary").alias("text"))
 
     def find(batches):
@@ -143,6 +143,7 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         for batch in batches:
             ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
+            del batch
             ids = np.array([_NULL_ID if x is None else x for x in ids], np.int64)
             tags = np.array(tags, np.int64).astype(np.uint32)
             for a, b in blocks(texts):
@@ -179,14 +180,14 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "bucket int, decided boolean, packed binary"
     dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    decided = dealt(rows.mapInArrow(find, schema)).mapInArrow(decide, schema)
-    return dealt(decided).mapInArrow(gather, "doc_id long, tag long, ranges binary")
+    decided = dealt(rows.mapInArrow(trimmed(find), schema)).mapInArrow(trimmed(decide), schema)
+    return dealt(decided).mapInArrow(trimmed(gather), "doc_id long, tag long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row per document: doc_id, changed, removed_spans, removed_bytes, text (what stays of it)."""
     ranges = materialize(removed_ranges(docs, id_col, text_col, **options).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag"), "span-ranges")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     on = [F.coalesce("doc_id", F.lit(int(_NULL_ID))) == F.col("__id"), F.col("tag") == F.col("__tag")]
     rows = sized_join(rows, ranges, on, "left").select("doc_id", "ranges", "text")
 
@@ -207,4 +208,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 gone.append(sum(b - a for a, b in pairs))
             yield pa.RecordBatch.from_arrays([ids, pa.array([n > 0 for n in spans]), pa.array(spans, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "changed", "removed_spans", "removed_bytes", "text"])
 
-    return rows.mapInArrow(cut, "doc_id long, changed boolean, removed_spans long, removed_bytes long, text string")
+    return rows.mapInArrow(trimmed(cut), "doc_id long, changed boolean, removed_spans long, removed_bytes long, text string")

@@ -1,10 +1,41 @@
-"""Helpers for Arrow tasks that read rows sorted by a key, a group at a time."""
+"""Helpers for Arrow tasks: memory given back between batches, and rows sorted by a key read a group at a time."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import pyarrow as pa
 
 
+def _release() -> None:
+    """Gives freed memory back to the system; a worker lives on for other tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """``run`` for mapInArrow, with memory released after each batch that it has done with, and at the end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        def read():
+            for batch in batches:
+                yield batch
+                del batch
+                _release()
+
+        try:
+            yield from run(read())
+        finally:
+            _release()
+
+    return wrapped
+
+
 def sorted_groups(batches, keys: int):
     """Yields (key tuple, pa.Table of the group's rows) from batches sorted by their first ``keys`` columns."""
     held: list[pa.RecordBatch] = []

@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize, shared_dir
-from rasterweave.llm.tokens import encoder
+from rasterweave.llm.shared import materialize, shared_dir, text_batches
+from rasterweave.llm.streams import trimmed
+from rasterweave.llm.tokens import SLICE, encoder
 
 CHUNK_BITS = 8
 RANK_STEP = 512
@@ -117,7 +118,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     Null text is empty and has its end id alone; a null document id comes first; rows that repeat an id follow
     one another; an empty table writes no file. Each task renames a finished file, so a repeated task is harmless.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
 
@@ -143,10 +144,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
             return row
 
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 2000):
-                ids, lengths = encode(texts[at : at + 2000])
-                doc_ids += names[at : at + 2000]
+            for at in range(0, batch.num_rows, SLICE):
+                ids, lengths = encode(batch.column(1).slice(at, SLICE).to_pylist())
+                doc_ids += batch.column(0).slice(at, SLICE).to_pylist()
                 runs.append(ids)
                 counts.append(lengths)
                 held += len(ids)
@@ -155,7 +155,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
         if doc_ids:
             yield flush()
 
-    return materialize(ordered.mapInArrow(run, MANIFEST), "token-manifest")
+    return materialize(ordered.mapInArrow(trimmed(run), MANIFEST), "token-manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     ids = [tokens.document(k).astype("<u4") for k in these]
                     yield pa.RecordBatch.from_arrays([pa.array([tokens.doc_ids[k] for k in these], pa.int64()), pa.array([base + int(tokens.starts[k]) for k in these], pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], schema=schema)
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(trimmed(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_folder(spark) -> str:

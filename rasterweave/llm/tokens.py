@@ -13,8 +13,10 @@ import os
 import numpy as np
 
 #: Words that a worker remembers, and words in a line handed to the tokenizer at once.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 LINE_WORDS = 256
+#: Texts to encode at once.
+SLICE = 1_000
 
 WORD_BPE = "word_bpe_49k.json"
 

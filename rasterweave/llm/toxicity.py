@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize
+from rasterweave.llm.shared import materialize, text_batches
+from rasterweave.llm.streams import trimmed
 from rasterweave.llm.wordhash import LETTERS, blocks, word_hashes
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 8_000, 12_000
 #: Words that the models look at, and folds.
 WORDS, FOLDS = 192, 5
+#: Documents scored at once.
+SLICE = 1_000
 CATEGORIES = ("explicit", "sustained", "toxic")
 
 
@@ -71,7 +74,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, l2: float = 1.0, s
 
 
 def _predict(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ beta[:-1] + beta[-1], -30, 30)))
+    # a sum of each row by itself: a row's result does not depend on its neighbours
+    return 1 / (1 + np.exp(-np.clip((x * beta[:-1]).sum(1, dtype=np.float64) + beta[-1], -30, 30)))
 
 
 class ToxicityChain:
@@ -107,10 +111,17 @@ class ToxicityChain:
             return np.zeros((len(texts), len(CATEGORIES)))
         x = np.log1p(count_words(texts, self.vocabulary))
         for beta in self.models:
-            x = np.concatenate([x, _predict(x, beta)[:, None] * 2], 1)
+            x = np.concatenate([x, _predict(x, beta)[:, None].astype(np.float32) * 2], 1)
         return x[:, -len(self.models) :].astype(float) / 2
 
 
+def judge(chain: ToxicityChain, batch: pa.RecordBatch) -> np.ndarray:
+    """The chain's probabilities for the column ``text`` of a batch, some rows at a time."""
+    texts = batch.column("text")
+    parts = [chain.predict(texts.slice(at, SLICE).to_pylist()) for at in range(0, len(texts), SLICE)]
+    return np.concatenate(parts) if parts else np.zeros((0, len(CATEGORIES)))
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
     """A bounded sample of labelled documents (y, fold, text), and how many labels of each kind there are."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -118,7 +129,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, la
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     drawn = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in most.items()]
     drawn = materialize(drawn[0].unionByName(drawn[1]), "toxic-drawn")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    texts = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(drawn), "doc_id").select("doc_id", "y", (F.xxhash64("doc_id") % FOLDS + FOLDS).cast("int").alias("fold"), "text")
     return materialize(rows.withColumn("fold", F.col("fold") % FOLDS), "toxic-texts"), total
 
@@ -145,7 +156,7 @@ def fit_toxicity(
                 bad = np.bincount(at, own, len(values)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(values)).astype(np.int64) - bad)], names=["word", "bad", "good"])
 
-    per_word = rows.mapInArrow(words, "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad >= 3")
+    per_word = rows.mapInArrow(trimmed(words), "word long, bad long, good long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad >= 3")
     sampled = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sampled) < 2:
         return ToxicityChain(np.zeros(0, np.uint64))
@@ -162,7 +173,7 @@ def fit_toxicity(
             packed = pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for c in counts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("fold"), packed], names=["doc_id", "y", "fold", "counts"])
 
-    found = sorted((r["doc_id"], r["y"], r["fold"], bytes(r["counts"])) for r in rows.mapInArrow(features, "doc_id long, y int, fold int, counts binary").collect())
+    found = sorted((r["doc_id"], r["y"], r["fold"], bytes(r["counts"])) for r in rows.mapInArrow(trimmed(features), "doc_id long, y int, fold int, counts binary").collect())
     counts = np.stack([np.frombuffer(c, "<u2") for *_, c in found]).astype(np.float32)
     y, fold = np.array([r[1] for r in found], np.float32), np.array([r[2] for r in found])
     weight = np.where(y > 0, total[1] / sampled[1], total[0] / sampled[0]).astype(np.float32)
@@ -171,14 +182,14 @@ def fit_toxicity(
 
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, the probability of each category, rejected (toxic at or above the chain's cut)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in batches:
-            p = chain.predict(batch.column("text").to_pylist())
+            p = judge(chain, batch)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.ascontiguousarray(c), pa.float64()) for c in p.T), pa.array(p[:, -1] >= chain.cut)], names=["doc_id", *(f"p_{c}" for c in CATEGORIES), "rejected"])
 
-    return rows.mapInArrow(run, f"doc_id long, {', '.join(f'p_{c} double' for c in CATEGORIES)}, rejected boolean")
+    return rows.mapInArrow(trimmed(run), f"doc_id long, {', '.join(f'p_{c} double' for c in CATEGORIES)}, rejected boolean")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -187,7 +198,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            p = chain.predict(batch.column("text").to_pylist())
+            p = judge(chain, batch)
             yield batch.filter(pa.array(p[:, -1] < chain.cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

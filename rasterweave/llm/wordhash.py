@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text in a block.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
