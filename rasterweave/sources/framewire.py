@@ -10,6 +10,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -125,17 +126,22 @@ class _StreamReader(DataSourceStreamReader):
 
 
 class _Writer(DataSourceWriter):
-    """A file for each task, named in place when all of it is written."""
+    """A file for each task, named in place when all of it is written; later writes have later names."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite: bool):
         self.path, self.swap = options["path"], options.get("swap", "false").lower() == "true"
+        self.stamp, self.old = f"{time.time_ns():020d}", _files(options["path"]) if overwrite else []
+
+    def commit(self, messages):
+        for path in self.old:
+            os.remove(path)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
         context = TaskContext.get()
-        name, n = os.path.join(self.path, f"part-{context.partitionId():05d}.frames"), 0
+        name, n = os.path.join(self.path, f"{self.stamp}-{context.partitionId():05d}.frames"), 0
         with open(f"{name}.{context.taskAttemptId()}", "wb") as f:
             for row in iterator:
                 f.write(encode_frame(row["kind"], row["width"], row["height"], row["format"], row["element_bytes"], bytes(row["payload"] or b""), self.swap))
@@ -161,4 +167,4 @@ class FramewireSource(DataSource):
         return _StreamReader(self.options)
 
     def writer(self, schema: StructType, overwrite: bool):
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
