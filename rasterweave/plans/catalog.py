@@ -13,6 +13,7 @@ from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform, segment
 from rasterweave.operators.dense import dense_rgb, to_pixels, to_rows
+from rasterweave.operators.regions import components_tiled
 from rasterweave.operators.tiles import run_tiled
 from rasterweave.plans import runtime
 from rasterweave.sources import fixtures as fx
@@ -555,6 +556,11 @@ def connected_components(spark, d):
     return _dense(spark, d, _labels)
 
 
+@query(f"WITH RECURSIVE {_LABELS} SELECT image_id, y, x, v FROM full_")
+def connected_components_tiled(spark, d):
+    return components_tiled(_px(fx.px8(spark, d), v=point.threshold(_v(), 120)), 4)
+
+
 @query(f"WITH RECURSIVE {_LABELS} SELECT image_id, y, x, CASE WHEN v = 2 THEN 255 ELSE 0 END AS v FROM full_")
 def extract_component(spark, d):
     return _px(_dense(spark, d, _labels), v=point.extract_label(_v(), 2))

@@ -12,13 +12,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.schema import DipError, require
+from rasterweave.schema import MEMORY_REGIONS, DipError, require
 
 ELEMENT_BYTES = {"u8": 1, "i8": 1, "f32": 4}
 LAYOUTS = ("hwc", "chw")
 U16, U32, I32 = (1 << 16) - 1, (1 << 32) - 1, (1 << 31) - 1
 
 
+#: Fixed value: bytes of a cache line.
+LINE = 32
+
+
+def allocation(size: int, alignment: int, region: str) -> tuple[int, int, str]:
+    """Checks a request for a buffer; memory itself is Spark's."""
+    require(size > 0, "INVALID_SIZE")
+    require(alignment > 0 and alignment & (alignment - 1) == 0, "INVALID_ARG")
+    require(region in MEMORY_REGIONS and region != "EXTERNAL_FLASH", "INVALID_ARG", region)
+    return size, alignment, region
+
+
+def cache_range(address: int | None, size: int) -> tuple[int, int]:
+    """Start and length of the cache lines that hold a buffer."""
+    require(address is not None, "NULL_PTR")
+    require(size > 0, "INVALID_SIZE")
+    start, stop = address // LINE * LINE, -(-(address + size) // LINE) * LINE
+    require(stop <= 1 << 64, "OVERFLOW")
+    return start, stop - start
+
+
+_clock = [0]
+
+
+def tic() -> None:
+    _clock[0] = time.perf_counter_ns()
+
+
+def toc() -> int:
+    """Nanoseconds since ``tic``."""
+    return time.perf_counter_ns() - _clock[0]
+
+
+def vendor_backend(init: Callable[[], bool], run: Callable[[bytes], bytes]) -> Callable[[bytes], bytes]:
+    """An invoke function of a vendor's binding, initialised once."""
+    require(init is not None and run is not None, "NULL_PTR")
+    require(bool(init()), "DEVICE_ERROR")
+    return run
+
+
 @dataclass(frozen=True)
 class Contract:
     """What a tensor must be: its size in bytes, shape, element type and layout."""

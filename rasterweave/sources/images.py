@@ -41,6 +41,11 @@ def with_complex_planes(images: DataFrame, n: int) -> DataFrame:
     return images.withColumn("ch", F.array_repeat(plane, n))
 
 
+def release(images: DataFrame) -> None:
+    """Gives back what a cached table holds."""
+    images.unpersist()
+
+
 def channels_empty(images: DataFrame) -> DataFrame:
     return images.withColumn("channels_empty", F.col("ch").isNull())
 

@@ -150,3 +150,18 @@ def test_manifests(spark):
     got = [r["ok"] for r in df.select("i", rt.manifest_valid(F.col("t")).alias("ok")).orderBy("i").collect()]
     assert got == [True] * len(texts) + [False] * (len(bad) + 2)
     assert spark.range(1).select(rt.identifier(F.lit("a-b c1"))).first()[0] == "a_b_c1"
+
+
+def test_memory_contracts():
+    assert rt.cache_range(0x1003, 61) == (0x1000, 64) and rt.cache_range(0x1020, 32) == (0x1020, 32)
+    for bad in ((None, 4), (4, 0), ((1 << 64) - 1, 8)):
+        with pytest.raises(DipError):
+            rt.cache_range(*bad)
+    assert rt.allocation(8, 32, "DMA")[0] == 8
+    for bad in ((0, 32, "DMA"), (8, 3, "DMA"), (8, 32, "EXTERNAL_FLASH")):
+        with pytest.raises(DipError):
+            rt.allocation(*bad)
+    rt.tic()
+    assert rt.toc() >= 0 and rt.vendor_backend(lambda: True, bytes)(b"a") == b"a"
+    with pytest.raises(DipError):
+        rt.vendor_backend(lambda: False, bytes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform
+from rasterweave.operators.regions import components_tiled
 from rasterweave.operators.tiles import run_tiled
 from rasterweave.plans.frame import ImageFrame
 from rasterweave.schema import DipError
@@ -121,6 +122,18 @@ def test_tiles_give_the_whole_image(spark, tile):
         assert np.allclose(stack_of(run_tiled(px, f, kind, tile, 1), 2, 11, 13), f(stack))
 
 
+def test_components_across_tiles(spark):
+    rng = np.random.default_rng(8)
+    stack = (rng.random((3, 13, 17)) < [[[0.6]], [[0.45]], [[0.0]]]).astype(int)
+    snake = np.zeros((13, 17), int)
+    snake[::2] = 1
+    snake[1::4, -1] = snake[3::4, 0] = 1
+    stack[2] = snake
+    out = stack_of(components_tiled(rows_of(spark, stack), 4), 3, 13, 17)
+    assert (out == kernels.label_components(stack)).all()
+    assert stack_of(components_tiled(rows_of(spark, stack[:1] * 0), 5), 1, 13, 17).max() == 0
+
+
 def test_spectrum_forms_agree(spark):
     stack = np.random.default_rng(5).integers(0, 256, (1, 8, 8))
     out = longform.dft(rows_of(spark, stack), 8)
