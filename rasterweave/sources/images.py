@@ -192,6 +192,12 @@ def clear(px: DataFrame, colour: str = "BLACK") -> DataFrame:
     return px.withColumn("v", F.lit(DISPLAY_COLOURS[colour]))
 
 
+def luma_of_yuv422(frames: DataFrame) -> DataFrame:
+    """Grey images of interleaved YUV 4:2:2 frames: every other byte is a pixel's brightness."""
+    luma = F.unhex(F.regexp_replace(F.hex("pixels"), "(..)..", "$1"))
+    return frames.select("image_id", "width", "height", F.lit("GRAYSCALE").alias("format"), F.lit(1).alias("depth"), F.lit("PIXELS").alias("state"), luma.alias("pixels"))
+
+
 def centre_crop(px: DataFrame, width: int, height: int, from_width: int, from_height: int) -> DataFrame:
     """The middle of larger frames, with coordinates counted anew."""
     require(width <= from_width and height <= from_height, "INVALID_SIZE")

@@ -151,6 +151,8 @@ def test_containers(spark):
     for bad in (lambda: images.create_images(spark, 0, 2, "GRAYSCALE"), lambda: images.create_images(spark, 1, 1, "CMYK"), lambda: images.create_images_named(spark, "INVALID", "MASK")):
         with pytest.raises(DipError):
             bad()
+    frames = spark.createDataFrame([(0, 2, 1, bytearray([9, 1, 8, 2]))], "image_id long, width int, height int, pixels binary")
+    assert bytes(images.luma_of_yuv422(frames).first()["pixels"]) == b"\x09\x08"
     raw = spark.createDataFrame([(0, bytearray(range(18)))], "image_id long, pixels binary")
     view = images.view(raw, 2, 2, "RGB888", 3, 9)
     assert bytes(images.view_row(view, 1).first()["row"]) == bytes(range(9, 15)) and images.view_row(view, 2).first()["row"] is None
