@@ -48,7 +48,7 @@ CELLS = 256
 #: Documents handled at once, tokens whose repeats a task counts at once, and prefix tokens held before they are sent.
 SLICE, COUNTED, HELD = 500, 3_000_000, 1_500_000
 #: Classes of a block of a neighbourhood; larger ones are compared block by block.
-BLOCK_CLASSES = 2_000
+BLOCK_CLASSES = 500
 
 _STEP = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
