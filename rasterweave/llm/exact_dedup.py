@@ -65,8 +65,8 @@ def exact_dedup(
 
     # The index: an entry per key, addressed by the directory, owned bucket by bucket.
     cell = F.shiftrightunsigned("key", 64 - max_depth).cast("int")
-    entries = records.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows"))
-    counts = {r["cell"]: r["n"] for r in records.groupBy(cell.alias("cell")).agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+    entries = materialize(records.groupBy("key").agg(F.count(F.lit(1)).alias("n_rows")), "dedup-entries")
+    counts = {r["cell"]: r["n"] for r in entries.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = build_directory(counts, capacity, max_depth)
     directory = spark.createDataFrame(slots, "slot int, bucket int, local_depth int").coalesce(1)
     depth = (len(slots) - 1).bit_length()

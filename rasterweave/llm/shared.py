@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows of a side that may be broadcast; wider sides take the shuffled join instead.
-BROADCAST_ROWS = 400_000
+#: Most rows of a side that may be broadcast, and most bytes of a column of varying width; larger sides take the
+#: shuffled join instead.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
 
 #: Rows of a batch that goes to Python; whole texts are large, and a batch lies in memory on both sides.
 BATCH_ROWS = 1_000
@@ -57,12 +58,14 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS, wide: str | None = None) -> DataFrame:
     """Join with ``right`` broadcast if it has at most ``limit`` rows, else shuffled (sort-merge, split when skewed).
 
-    ``right`` should come from ``materialize``, so that counting it reads file footers only.
+    ``right`` should come from ``materialize``, so that counting it reads file footers only. ``wide``: its column of
+    varying width, whose bytes are limited too.
     """
-    if right.count() <= limit:
+    rows, size = right.agg(F.count(F.lit(1)), F.sum(F.length(wide)) if wide else F.lit(0)).first()
+    if rows <= limit and (size or 0) <= BROADCAST_BYTES:
         right = F.broadcast(right)
     else:
         right = right.hint("merge")
