@@ -2,8 +2,8 @@
 
 A text is cut into sentences: after a word that ends in ``. ! ?``, at the end of a line, and, so that passages without
 punctuation are cut alike wherever they stand, after a word whose hash falls into one class of ``CUT_EVERY``.
-A span starts at every sentence and runs over at least ``MIN_SENTENCES`` sentences until it has ``MIN_WORDS`` words;
-it is hashed. Of all spans of a hash in the whole table the first, by document id and place, stays; sentences covered
+A span starts at every sentence and runs over at least ``MIN_SENTENCES`` sentences until it has ``MIN_WORDS`` words,
+and one ends with every sentence likewise; both are hashed. Of all spans of a hash in the whole table the first, by document id and place, stays; sentences covered
 by any other are removed.
 
 A task first joins the spans that it has itself: all but its first of a hash are decided there, so a passage that is
@@ -57,7 +57,12 @@ def text_spans(texts: list[bytes], min_words: int = MIN_WORDS, min_sentences: in
     ok = want < len(first)
     want = np.minimum(want, len(first) - 1)
     ok &= sentence_doc[want] == sentence_doc
-    begin, finish = first[ok], last[want[ok]]
+    # And the shortest that end with each sentence, so that no sentence of a repeated run is left at its end.
+    back = np.minimum(np.searchsorted(first, last - min_words + 1, side="right") - 1, np.arange(len(last)) - min_sentences + 1)
+    fine = back >= 0
+    fine[fine] &= sentence_doc[back[fine]] == sentence_doc[fine]
+    both = np.unique((np.concatenate([first[ok], first[back[fine]]]) << 32) | np.concatenate([last[want[ok]], last[fine]]))
+    begin, finish = both >> 32, both & 0xFFFFFFFF
     # A span's hash: a polynomial in its words' hashes, from running sums per word place in the block.
     base = np.uint64(0xD1342543DE82EF95)
     powers = np.ones(n + 1, np.uint64)
@@ -189,7 +194,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = materialize(removed_ranges(docs, id_col, text_col, **options).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag"), "span-ranges")
     rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     on = [F.coalesce("doc_id", F.lit(int(_NULL_ID))) == F.col("__id"), F.col("tag") == F.col("__tag")]
-    rows = sized_join(rows, ranges, on, "left").select("doc_id", "ranges", "text")
+    rows = sized_join(rows, ranges, on, "left", wide="ranges").select("doc_id", "ranges", "text")
 
     def cut(batches):
         for batch in batches:

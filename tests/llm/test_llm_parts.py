@@ -181,6 +181,26 @@ def test_spans_find_a_passage_wherever_it_stands():
     assert all(len(x) == 0 for x in spans.text_spans([b"", b"short one."]))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 14), min_size=4, max_size=12), st.integers(0, 6), st.integers(0, 6))
+def test_every_whole_sentence_of_a_repeated_run_is_covered(lengths, a, b):
+    run = " ".join(" ".join(f"u{i}x{k}" for k in range(n)) + "." for i, n in enumerate(lengths))
+    texts = [f"{'p ' * a}start. {run} {'q ' * b}end", f"{'r ' * b}begin. {run} {'s ' * a}stop"]
+    doc, h, start, end = spans.text_spans(raw(texts))
+    shared = set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
+    if sum(lengths) < spans.MIN_WORDS:
+        return
+    cover = np.zeros(len(texts[1]), bool)
+    for value, x, y in zip(h[doc == 1].tolist(), start[doc == 1].tolist(), end[doc == 1].tolist()):
+        if value in shared:
+            cover[x:y] = True
+    place = texts[1].index(run)
+    text = np.frombuffer(texts[1].encode(), np.uint8)
+    inside = np.zeros(len(text), bool)
+    inside[place : place + len(run)] = True
+    assert cover[inside & (text != 32)].all() and not cover[: max(0, place - 1)].any()
+
+
 def test_ranges_are_disjoint():
     s = np.zeros(5, spans._RANGE)
     s["doc"], s["start"], s["end"] = [1, 1, 1, 2, 2], [0, 5, 20, 3, 3], [10, 12, 30, 6, 9]
