@@ -78,11 +78,11 @@ def specification(px: DataFrame, target: list[int]) -> DataFrame:
         total += n
         running.append(total)
     goal = F.array(*[F.lit(n).cast("long") for n in running])
-    apart = F.transform(goal, lambda g: F.abs(F.col("cdf") * F.lit(total) - g * F.col("total")))
-    nearest = F.array_position(apart, F.array_min(apart)) - 1
+    nearest = F.array_min(F.transform(goal, lambda g, j: F.struct(F.abs(F.col("cdf") * F.lit(total) - g * F.col("total")).alias("apart"), j.alias("level"))))
+    best = _cumulated(px).select("image_id", "level", "total", nearest.alias("best"))
     # a distance of 1 or more finds nothing, and level 0 stays
-    found = F.when(F.array_min(apart) < F.col("total") * F.lit(total), nearest).otherwise(0)
-    return _cumulated(px).select("image_id", "level", found.cast("int").alias("mapped"))
+    found = F.when(F.col("best.apart") < F.col("total") * F.lit(total), F.col("best.level")).otherwise(0)
+    return best.select("image_id", "level", found.cast("int").alias("mapped"))
 
 
 def specify(px: DataFrame, target: list[int]) -> DataFrame:
