@@ -9,11 +9,12 @@ matched before lower-casing, so texts that hold ``<|`` keep their case.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
 #: Words that a worker remembers, and words in a line handed to the tokenizer at once.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 LINE_WORDS = 256
 #: Texts to encode at once.
 SLICE = 1_000
@@ -64,57 +65,68 @@ class WordEncoder:
         self.index = _Index()
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16 if size <= 1 << 16 else np.uint32)
 
-    def _encode_each(self, words: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.asarray(e.ids, self.ids.dtype) for e in found]
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in turn, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.ids.dtype), np.fromiter(map(len, found), np.int32, len(found))
 
-    def _encode_plain(self, words: list[str]) -> list[np.ndarray]:
+    def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only: many share a line, and their last tokens mark where each ends."""
         lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
-        out: list[np.ndarray] = []
+        out = []
         for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.asarray(e.ids, self.ids.dtype)
+            ids = np.array(e.ids, self.ids.dtype)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            out += np.split(ids, stops[:-1]) if len(stops) == len(line) and (not len(ids) or stops[-1] == len(ids)) else self._encode_each(line)
-        return out
+            whole = len(stops) == len(line) and stops[-1] == len(ids)
+            out.append((ids, np.diff(stops, prepend=0)) if whole else self._encode_each(line))
+        return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
+
+    def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words in turn, and where each begins (and the last ends)."""
+        each = self.length[place]
+        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+        return self.ids[np.repeat(self.start[place] - upto[:-1], each) + np.arange(upto[-1])], upto
+
+    def _add(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        self.length[places] = counts
+        self.start[places] = len(self.ids) + np.cumsum(counts, dtype=np.int64) - counts
+        self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self) -> None:
-        """Encodes the words that are new in the index."""
+        """Encodes the words that are new in the index: letters, letters and a stop, and others, each kind at once."""
         index, known = self.index, len(self.length)
-        kinds: list[tuple[int, int, bytes]] = []  # (place, kind, word): 0 letters, 1 letters and a stop, 2 other
+        plain, other, joined = ([], []), ([], []), ([], [])
         at = 0
-        while at < len(index.new):  # the stems of kind 1 may be new themselves
-            word = index.new[at]
-            text = word.decode("utf-8", "replace")
+        while at < len(index.new):  # the stems of joined words may be new themselves
+            text = (word := index.new[at]).decode("utf-8", "replace")
             if text.isalpha():
-                kinds.append((at, 0, text))
-            elif len(text) > 1 and text[-1] in ".,;:!?" and text[:-1].isalpha():
-                kinds.append((at, 1, (index[word[:-1]] - known, index[word[-1:]] - known)))
+                plain[0].append(at)
+                plain[1].append(text)
+            elif text[-1] in ".,;:!?" and text[:-1].isalpha():
+                joined[0].append(at)
+                joined[1].extend((index[word[:-1]], index[word[-1:]]))
             else:
-                kinds.append((at, 2, text))
+                other[0].append(at)
+                other[1].append(text)
             at += 1
-        found: list = [None] * len(index.new)
-        for kind, encode in ((0, self._encode_plain), (2, self._encode_each)):
-            places = [p for p, k, _ in kinds if k == kind]
-            for p, ids in zip(places, encode([w for _, k, w in kinds if k == kind]) if places else [], strict=True):
-                found[p] = ids
-        known_ids = lambda n: found[n] if n >= 0 else self.ids[self.start[n + known] : self.start[n + known] + self.length[n + known]]
-        for p, k, parts in kinds:
-            if k == 1:
-                found[p] = np.concatenate([known_ids(parts[0]), known_ids(parts[1])])
-        length = np.fromiter(map(len, found), np.int32, len(found))
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length, dtype=np.int64) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, *found])
+        self.start = np.concatenate([self.start, np.zeros(at, np.int64)])
+        self.length = np.concatenate([self.length, np.zeros(at, np.int32)])
+        for (places, words), encode in ((plain, self._encode_plain), (other, self._encode_each)):
+            if words:
+                self._add(known + np.array(places), *encode(words))
+        if joined[0]:
+            ids, upto = self._gather(np.array(joined[1]))
+            self._add(known + np.array(joined[0]), ids, np.diff(upto[::2]))
 
     def _forget(self) -> None:
         """Keeps the first words only; those of this batch beyond them go."""
-        if len(self.index) > REMEMBERED:
-            for word in self.index.new[REMEMBERED - len(self.index) :] if len(self.index.new) > len(self.index) - REMEMBERED else self.index.new:
+        extra = len(self.index) - REMEMBERED
+        if extra > 0:
+            for word in self.index.new[-extra:]:
                 del self.index[word]
             n = len(self.index)
-            self.start, self.length = self.start[:n], self.length[:n]
-            self.ids = self.ids[: int(self.start[-1] + self.length[-1]) if n else 0].copy()
+            self.ids, upto = self._gather(np.arange(n))
+            self.start, self.length = upto[:-1], self.length[:n]
         self.index.new = []
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,9 +140,7 @@ class WordEncoder:
         if self.index.new:
             self._learn()
         place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        each = self.length[place].astype(np.int64)
-        upto = np.concatenate([[0], np.cumsum(each)])
-        ids = self.ids[np.repeat(self.start[place] - upto[:-1], each) + np.arange(upto[-1])]
+        ids, upto = self._gather(place)
         edges = np.concatenate([[0], np.cumsum(words)])
         counts = np.diff(upto[edges])
         self._forget()
