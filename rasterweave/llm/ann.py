@@ -1,15 +1,17 @@
 """Nearest neighbours by cosine with additive quantisation.
 
 Codebooks of full dimension are fitted on a bounded sample, each on what the ones before leave of the unit vectors,
-and refined in turn. A vector's code picks one entry of each book, found by beam search; the length of the sum is
-stored with it. A query scores codes with one table of dot products per book; the best by that score are reranked by
-the exact cosine of the original vectors, in double precision.
+and refined in turn. A vector's code picks one entry of each book, found by beam search; the length of the sum and
+its cosine with the vector are stored with it. A query scores codes with one table of dot products per book; the best
+by that score are reranked by the exact cosine of the original vectors, in double precision. Their ``k``-th cosine is
+a floor: a vector is left out only if its angle to the query, less that to its code, cannot reach the floor. All
+others are reranked too, however many, so the result is that of comparing all vectors.
 
 Queries are read in blocks of bounded size, and each block meets every code block by block. Per block of codes and
-query only the short list is reranked and its best ``k`` sent on, so memory and traffic are bounded.
+query only the best ``k`` are sent on, so memory and traffic are bounded.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose
-length differs from most; ties go to the smaller id (short lists keep equal codes in order of id); equal vectors are
+length differs from most; ties go to the smaller id; equal vectors are
 found like any others; a query without candidates gives no rows; null ids take no part; an empty table gives no rows.
 """
 
@@ -26,7 +28,7 @@ from rasterweave.llm.streams import trimmed
 #: Vectors that the codebooks are fitted on at most, books, entries of a book, codes kept by the beam.
 SAMPLE_ROWS = 16_384
 BOOKS, ENTRIES, BEAM = 12, 128, 6
-#: Candidates of a block of codes that are reranked for each query; rows of such a block; queries of a block.
+#: Candidates of a block of codes that are reranked first for each query; rows of such a block; queries of a block.
 SHORT_LIST, CODE_ROWS, QUERY_ROWS = 40, 4_096, 4_096
 
 
@@ -91,6 +93,13 @@ class AdditiveQuantizer:
             total += tables[:, m][:, codes[:, m]]
         return total / norms
 
+    def reach(self, scores: np.ndarray, norms: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The greatest cosine that vectors with these scores can have, ``near`` being theirs with their codes' sums."""
+        # what single precision may have taken from a score
+        rounding = (self.words.shape[2] + 2 * self.books) * np.sqrt((self.words.astype(float) ** 2).sum(2)).max(1).sum() * 2.0**-23
+        s = np.clip(scores + rounding / norms, -1, 1)
+        return np.where(s >= near, 1.0, near * s + np.sqrt((1 - s * s) * (1 - near * near)))
+
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part."""
@@ -124,10 +133,15 @@ def search(
         for batch in batches:
             v = _matrix(batch.column(1), d)
             codes = q.encode(v / np.linalg.norm(v, axis=1, keepdims=True))
-            norms = np.linalg.norm(q.decode(codes), axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["vec_id", "v", "code", "norm"])
-
-    index = materialize(found.mapInArrow(trimmed(encode), "vec_id long, v array<double>, code binary, norm float"), "ann-index")
+            total = q.decode(codes).astype(float)
+            norms = np.linalg.norm(total, axis=1)
+            norms[norms < 1e-3] = np.inf  # no direction: such a code leaves nothing out
+            near = np.clip((total * v).sum(1) / np.linalg.norm(v, axis=1) / norms - 1e-5 / np.minimum(norms, 1), 0, 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms.astype(np.float32)), pa.array(near)], names=["vec_id", "v", "code", "norm", "near"]
+            )
+
+    index = materialize(found.mapInArrow(trimmed(encode), "vec_id long, v array<double>, code binary, norm float, near double"), "ann-index")
     queries = index.filter(F.col("vec_id") % every == 0).select("vec_id", "v")
     blocks = max(1, -(-queries.count() // query_rows))
     results = None
@@ -144,36 +158,48 @@ def search(
             tables = np.einsum("qd,mkd->qmk", unit, model_.words)
             best = {}
 
-            def meet(vec_id, v, code, norm):
-                order = np.argsort(vec_id, kind="stable")
-                vec_id, v, code, norm = vec_id[order], v[order], code[order], norm[order]
+            def rerank(i, vec_id, v, size):
+                exact = (v * q[i]).sum(1) / (size * length[i])
+                old = best.get(i)
+                e, w = (exact, vec_id) if old is None else (np.concatenate([old[0], exact]), np.concatenate([old[1], vec_id]))
+                top = np.lexsort((w, -e))[:k]
+                best[i] = (e[top], w[top])
+
+            def meet(vec_id, v, code, norm, near):
                 size = np.sqrt((v * v).sum(1))
                 for a in range(0, len(ids), 256):
                     score = model_.scores(tables[a : a + 256], code, norm)
-                    score[ids[a : a + 256, None] == vec_id] = -np.inf
+                    reach = model_.reach(score, norm, near)
+                    own = ids[a : a + 256, None] == vec_id
+                    score[own] = reach[own] = -np.inf
                     n = min(short_list, score.shape[1])
-                    edge = np.partition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n]
-                    for r in range(len(score)):
-                        i = a + r
-                        # all above the edge, and of those at it the first by id
-                        sure = np.flatnonzero(score[r] > edge[r])
-                        at = np.flatnonzero(score[r] == edge[r])[: n - len(sure)]
-                        pick = np.concatenate([sure, at])
+                    first = np.argpartition(score, score.shape[1] - n, axis=1)[:, score.shape[1] - n :]
+                    for r, pick in enumerate(first):
                         pick = pick[score[r][pick] > -np.inf]
-                        exact = (v[pick] * q[i]).sum(1) / (size[pick] * length[i])
-                        old = best.get(i)
-                        e, w = (exact, vec_id[pick]) if old is None else (np.concatenate([old[0], exact]), np.concatenate([old[1], vec_id[pick]]))
-                        top = np.lexsort((w, -e))[:k]
-                        best[i] = (e[top], w[top])
-
-            held, size = [], 0
-            for batch in batches:
-                held.append((np.asarray(batch.column(0)), _matrix(batch.column(1), d), np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, model_.books), np.asarray(batch.column(3))))
-                size += batch.num_rows
-                if size >= CODE_ROWS:
-                    meet(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                    held, size = [], 0
-            if size:
+                        rerank(a + r, vec_id[pick], v[pick], size[pick])
+                    np.put_along_axis(reach, first, -np.inf, axis=1)
+                    # of the others all that may reach the k-th so far; a matrix product, right to 1e-9, picks those that do
+                    floor = np.array([best[a + r][0][-1] if len(best[a + r][0]) == k else -2.0 for r in range(len(score))]) - 1e-9
+                    may = reach >= floor[:, None]
+                    some = np.flatnonzero(may.any(1))
+                    if len(some):
+                        at = np.flatnonzero(may.any(0))
+                        cosine = (q[a + some] / length[a + some, None]) @ (v[at] / size[at, None]).T
+                        does = may[np.ix_(some, at)] & (cosine >= floor[some, None])
+                        for r in np.flatnonzero(does.any(1)):
+                            pick = at[does[r]]
+                            rerank(a + some[r], vec_id[pick], v[pick], size[pick])
+
+            held, rows_held = [], 0
+            for batch in (b.slice(at, CODE_ROWS) for b in batches for at in range(0, b.num_rows, CODE_ROWS)):
+                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, model_.books)
+                held.append((np.asarray(batch.column(0)), _matrix(batch.column(1), d), codes, np.asarray(batch.column(3)), np.asarray(batch.column(4))))
+                rows_held += batch.num_rows
+                if rows_held >= CODE_ROWS:
+                    block_ = [np.concatenate(c) for c in zip(*held, strict=True)]
+                    meet(*(c[:CODE_ROWS] for c in block_))
+                    held, rows_held = [tuple(c[CODE_ROWS:] for c in block_)], rows_held - CODE_ROWS
+            if rows_held:
                 meet(*(np.concatenate(c) for c in zip(*held, strict=True)))
             if best:
                 qs = np.concatenate([np.full(len(e), ids[i], np.int64) for i, (e, _) in best.items()])

@@ -249,6 +249,24 @@ def test_neighbours(spark):
     assert sorted((r["query_id"], r["rank"]) for r in few) == [(50, 1), (50, 2)]
 
 
+def test_neighbours_in_groups_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16))
+    x[::3] = x[0] + rng.normal(size=(1000, 16)) * 1e-4
+    x[1::10] = x[1] + rng.normal(size=(300, 16)) * 1e-6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    got = defaultdict(list)
+    for r in ann.search(df, every=25).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, 3000, 25))
+    for q, found in got.items():
+        cosine = unit @ unit[q]
+        cosine[q] = -2
+        assert [s for _, s in found] == pytest.approx(np.sort(cosine)[::-1][:5], abs=1e-14)
+        assert [s for _, s in found] == pytest.approx([cosine[i] for i, _ in found], abs=1e-14) and len({i for i, _ in found}) == 5
+
+
 @pytest.fixture(scope="module")
 def judged(spark):
     rng = np.random.default_rng(4)
