@@ -7,6 +7,9 @@ half. The permutation of a value depends on nothing else, so equal values stay e
 ones unequal; separators stay in place, check digits are computed anew, dates stay dates between 1900 and 2099.
 Mail names, access keys and secrets, which are no numbers, take keyed digits of the same alphabet instead.
 
+A run of digits may hold a card beside other numbers (its date, its security code): where the whole run fails the check
+digit, its stretches of whole groups are tried.
+
 Defined cases: null text stays null, empty text empty; a candidate that fails validation stays as it is; text
 outside the values is untouched; repeated rows are treated alike; other columns pass through ``pseudonymize``
 unchanged and a clash with its own names is impossible, as they begin with two underscores; null ids are kept.
@@ -28,8 +31,10 @@ PATTERNS = {
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d.-])",
-    "card": r"(?<![\d.,])\d(?:[ -]?\d){12,18}(?![\d]|[.,]\d)",
 }
+# A whole run of groups of digits, up to one that begins something else; the cards in it are found by their check digit.
+_OTHERS = "|".join(PATTERNS[k] for k in ("mail", "hex", "date", "address", "social", "phone"))
+PATTERNS["card"] = rf"(?<![\d.,])(?=\d(?:[ -]?\d){{12}})\d++(?![.,]\d)(?:[ -](?!{_OTHERS})\d++(?![.,]\d))*+"
 KINDS = tuple(PATTERNS)
 #: Texts without any of these hold no candidate.
 _HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_?key)"
@@ -110,6 +115,43 @@ def _card(key: str, m: str) -> str:
     return _let(_digits(m), body)
 
 
+#: Digits of a card, and how cards are mostly written: these forms go before others that begin further left.
+CARD_DIGITS = (13, 19)
+_CARD_FORM = "^[ -]?([0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){2}[ -][0-9]{1,4}([ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
+
+
+def _cards(run: str) -> str:
+    """SQL: a run of groups of digits as an array of (t, k) in turn, k being 'card' for cards and null for the rest.
+
+    The whole run is one card if its check digit is right. Otherwise every stretch of whole groups is tried: at each
+    group one of a usual form, else the longest that no card of a usual form begins in.
+    """
+    low, high = CARD_DIGITS
+    passes = lambda d: f"(length({d}) between {low} and {high} and {_luhn(d)} % 10 = 0)"
+    rest = "cast(null as string)"
+
+    def search(p: str) -> str:
+        text = lambda i, c: f"array_join(slice({p}, {i}, {c}), '')"
+        _serial[0] += 1
+        i, c, e, x, y = (f"{name}{_serial[0]}" for name in ("i", "c", "e", "x", "y"))
+        counts = f"filter(sequence(1, least({high}, size({p}) - {i} + 1)), {c} -> {_let(_digits(text(i, c)), passes)})"
+        stretch = _let(counts, lambda n: f"named_struct('usual', array_max(filter({n}, {e} -> {text(i, e)} rlike {_sql(_CARD_FORM)})), 'longest', array_max({n}))")
+
+        def choose(w: str) -> str:
+            at = f"{w}[{x} - 1]"
+            chosen = f"case when {at}.usual is not null then {at}.usual when not exists(slice({w}, {x} + 1, {at}.longest - 1), {e} -> {e}.usual is not null) then {at}.longest end"
+            mark = f"regexp_extract({p}[{x} - 1], '^[ -]?', 0)"
+            put = lambda n: f"if({n} is null, array(named_struct('t', {p}[{x} - 1], 'k', {rest})), array(named_struct('t', {mark}, 'k', {rest}), named_struct('t', substring({text(x, n)}, length({mark}) + 1), 'k', 'card')))"
+            step = _let(chosen, lambda n: f"named_struct('next', {x} + coalesce({n}, 1), 'out', concat({y}.out, {put(n)}))")
+            first = f"named_struct('next', 1, 'out', cast(array() as array<struct<t:string,k:string>>))"  # noqa: F541
+            return f"aggregate(sequence(1, size({p})), {first}, ({y}, {x}) -> if({x} < {y}.next, {y}, {step}), {y} -> {y}.out)"
+
+        return _let(f"transform(sequence(1, size({p})), {i} -> {stretch})", choose)
+
+    whole = f"array(named_struct('t', {run}, 'k', 'card'))"
+    return f"if({_let(_digits(run), passes)}, {whole}, {_let(f'regexp_extract_all({run}, \'[ -]?[0-9]+\', 0)', search)})"
+
+
 def _phone(key: str, m: str) -> str:
     country = f"regexp_extract({m}, '^(\\\\+[0-9]{{1,3}})[ .(-]', 1)"
     return _let(country, lambda c: f"concat({c}, {_let(f'substring({m}, length({c}) + 1)', lambda r: _in_format(r, _permuted_digits(key, 'phone', _digits(r))))})")
@@ -203,15 +245,19 @@ def _hex(key: str, m: str) -> str:
 def kind_of(m: str) -> str:
     """SQL: the kind of a candidate, by the first pattern that matches all of it."""
     # A candidate stands alone here, so what a pattern asks of its surroundings holds.
-    cases = " ".join(f"when {m} rlike {_sql('^(?:' + p + ')$')} then '{k}'" for k, p in PATTERNS.items())
-    return f"case {cases} end"
+    cases = " ".join(f"when {m} rlike {_sql('^(?:' + p + ')$')} then '{k}'" for k, p in PATTERNS.items() if k != "card")
+    return f"case {cases} when {m} rlike '^[0-9 -]+$' then 'card' end"
+
+
+def values_of(m: str) -> str:
+    """SQL: the candidate ``m`` as an array of (t, k), text and kind (null: stays) in turn."""
+    return _let(kind_of(m), lambda k: f"if({k} = 'card', {_cards(m)}, array(named_struct('t', {m}, 'k', {k})))")
 
 
-def pseudonym(m: str, key: str) -> str:
-    """SQL: what replaces the candidate ``m``; the candidate itself if it fails validation."""
+def pseudonym(m: str, kind: str, key: str) -> str:
+    """SQL: what replaces the value ``m`` of a kind; the value itself if it fails validation."""
     makers = {"mail": _mail, "secret": _secret, "access": _access, "hex": _hex, "date": _date, "address": _address, "account": _account, "social": _social, "phone": _phone, "card": _card}
-    cases = lambda k: "case " + " ".join(f"when {k} = '{name}' then {make(key, m)}" for name, make in makers.items()) + f" else {m} end"
-    return _let(kind_of(m), cases)
+    return "case " + " ".join(f"when {kind} = '{name}' then {make(key, m)}" for name, make in makers.items()) + f" else {m} end"
 
 
 def _every() -> str:
@@ -224,12 +270,12 @@ def pseudonymize(docs: DataFrame, key: str = "corpus", text_col: str = "text") -
     maybe = text.rlike(_HINT)
     found = F.when(maybe, F.expr(f"regexp_extract_all(__text, {_sql(_every())}, 0)")).otherwise(F.array().cast("array<string>"))
     pieces = F.when(F.size("__m") > 0, F.expr(f"split(__text, {_sql(_every())}, -1)"))
-    changed = F.expr(f"transform(__m, m -> named_struct('kind', {kind_of('m')}, 'value', m, 'pseudonym', {pseudonym('m', key)}))")
-    joined = F.expr("concat(array_join(zip_with(slice(__pieces, 1, size(__new)), __new, (p, n) -> concat(p, n.pseudonym)), ''), element_at(__pieces, -1))")
+    changed = F.expr(f"transform(__m, m -> transform({values_of('m')}, x -> named_struct('kind', x.k, 'value', x.t, 'pseudonym', {pseudonym('x.t', 'x.k', key)})))")
+    joined = F.expr("concat(array_join(zip_with(slice(__pieces, 1, size(__new)), __new, (p, n) -> concat(p, array_join(n.pseudonym, ''))), ''), element_at(__pieces, -1))")
     out = docs.withColumn("__text", text).withColumn("__m", found).withColumn("__pieces", pieces).withColumn("__new", F.when(F.size("__m") > 0, changed))
     out = out.withColumn("__joined", F.when(F.size("__m") > 0, joined).otherwise(F.col("__text")))
     result: list[Column] = [F.col("__joined").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    real = F.filter(F.coalesce("__new", F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")), lambda x: x["value"] != x["pseudonym"])
+    real = F.filter(F.coalesce(F.flatten("__new"), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")), lambda x: x["value"] != x["pseudonym"])
     return out.select(*result, real.alias("__found"))
 
 

@@ -133,6 +133,37 @@ def test_pseudonyms(docs, empty, spark):
     assert pseudonyms.private_values(empty).count() == 0
 
 
+def test_cards_beside_other_numbers(spark):
+    card, short = "4111 1111 1111 1111", "4222222222222"
+    cases = {
+        f"pay {card} 12/25 now": [card],
+        "4111111111111111 123": ["4111111111111111"],
+        "4111111111111111 1225 123": ["4111111111111111"],
+        f"2025 {card}": [card],
+        f"12 {card} 123": [card],
+        f"7-{card} 1 2": [card],
+        f"{card} {short} 77": [card, short],
+        f"{card} 123-45-6789": [card, "123-45-6789"],
+        f"{card} 2001-12-31": [card, "2001-12-31"],
+        f"{card} 3.50": [card],
+        f"{card} 31/12/2001": [card, "31/12/2001"],
+        f"{card} 99 12345@mail.org": [card, "12345@mail.org"],
+        "4111 1111 1111 1112 123": [],
+        "1 2 3 4": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for r in pseudonyms.pseudonymize(df).collect():
+        text = list(cases)[r["doc_id"]]
+        assert [v["value"] for v in r["__found"]] == cases[text], text
+        for v in r["__found"]:
+            text = text.replace(v["value"], v["pseudonym"])
+        assert r["text"] == text
+    long = spark.createDataFrame([(1, "5 " * 10_000 + card), (2, "1234567 " * 3_000), (3, "9" * 50_000)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonymize(long).collect()}
+    assert card not in out[1]["text"] and out[3]["text"] == "9" * 50_000
+    assert all(len(r["text"]) == len(t["text"]) for r, t in ((out[t["doc_id"]], t) for t in long.collect()))
+
+
 def feistel(kind, a, b, even, odd, size=""):
     """The network in plain Python."""
     for i in range(pseudonyms.ROUNDS):
