@@ -26,12 +26,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm.components import components
 from rasterweave.llm.shared import materialize, sized_join, text_batches
 from rasterweave.llm.streams import sorted_groups, trimmed
+from rasterweave.llm.textfn import filled
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, mix, word_hashes
 
 WORDS = 5
@@ -164,12 +165,17 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
     return np.stack([parent[own], own], 1)
 
 
+def _key(text_col: str) -> Column:
+    """What tells rows of one id apart: a hash of the text."""
+    return F.xxhash64(filled(F.col(text_col)))
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), _key(text_col).alias("key"))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """kind 0: a document (doc_id, n, class, sketch); kind 1: a token that a task met in several documents, n times."""
+    """kind 0: a document (doc_id, n, class, sketch, key); kind 1: a token that a task met in several documents, n times."""
 
     def run(batches):
         tokens: list[np.ndarray] = []
@@ -178,7 +184,7 @@ def _sets(rows: DataFrame) -> DataFrame:
             values, n = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64), np.zeros(0, int))
             use = n >= 3
             values, n, k = values[use].astype(np.int64), n[use], int(use.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.int64()), pa.nulls(k, pa.list_(pa.int64()))], names=["kind", "doc_id", "n", "class", "sketch"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64())], names=["kind", "doc_id", "n", "class", "sketch", "key"])
 
         held, seen = 0, set()
         for batch in batches:
@@ -188,8 +194,8 @@ def _sets(rows: DataFrame) -> DataFrame:
                 classes = [class_of(s) for s in sets]
                 sketches = [np.sort(mix(s ^ np.uint64(3)))[:SKETCH].astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["kind", "doc_id", "n", "class", "sketch"],
+                    [pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), part.column(2)],
+                    names=["kind", "doc_id", "n", "class", "sketch", "key"],
                 )
                 for c, s in zip(classes, sets, strict=True):
                     if c not in seen:
@@ -201,7 +207,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     tokens, held, seen = [], 0, set()
         yield counted()
 
-    return rows.mapInArrow(trimmed(run), "kind int, doc_id long, n long, class long, sketch array<long>")
+    return rows.mapInArrow(trimmed(run), "kind int, doc_id long, n long, class long, sketch array<long>, key long")
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
@@ -249,12 +255,12 @@ def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.n
 
 
 def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, n_shingles, class; links: a, b between classes, spanning all links of the join)."""
+    """(documents: doc_id, n_shingles, class, key; links: a, b between classes, spanning all links of the join)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, id_col, text_col)
     sets = materialize(_sets(texts), "near-sets")
-    documents = sets.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", "sketch")
+    documents = sets.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", "sketch", "key")
     total = documents.count()
     frequent = sets.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, total // FREQUENT_ONE_IN)).toPandas()
     orders = TokenOrders(frequent["class"].to_numpy(np.int64).astype(np.uint64), frequent["n"].to_numpy(np.int64))
@@ -409,20 +415,35 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
 
 
 def near_components(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, class."""
+    """A row per document: doc_id, n_shingles, component_id, class, key (the text's hash), label (of a component of several rows)."""
     documents, links = near_links(docs, threshold, id_col, text_col)
     labels = components(links)
     full = documents.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("m"))
     full = full.join(labels.withColumnRenamed("node", "class"), "class", "left").filter("m > 1 or label is not null")
     full = materialize(full.withColumn("label", F.coalesce("label", "class")), "near-full")
     firsts = full.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = materialize(full.join(firsts, "label").select("class", "component_id", F.lit(True).alias("shared")), "near-named")
+    named = materialize(full.join(firsts, "label").select("class", "component_id", "label"), "near-named")
     out = sized_join(documents, named, "class", "left")
-    own = F.when(F.col("shared"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "class")
+    own = F.when(F.col("label").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "class", "key", "label")
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest id; of its repeated rows, one."""
-    found = materialize(near_components(docs, threshold).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct(), "near-dropped")
-    return sized_join(docs, found, docs["doc_id"] == found["__id"], "left_anti")
+    """``docs`` with one row of each component: that with the smallest id, by the text's hash where rows repeat it; of
+    rows that repeat an id and a text one stays, of texts without words too. Rows with a null id are decided among
+    themselves: one of each component stays, beside the one with an id.
+    """
+    found = near_components(docs, threshold)
+    several = found.filter("label is not null").withColumn("none", F.col("doc_id").isNull())
+    first = F.col("none") | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    chosen = materialize(several.filter(first).groupBy("label", "none").agg(F.min("key").alias("chosen")), "near-chosen")
+    others = sized_join(several, chosen, ["label", "none"], "left").filter(~(first & (F.col("key") == F.col("chosen"))))
+    dropped = materialize(others.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key2")).distinct(), "near-dropped")
+    same = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__key") == F.col("__key2")]
+    left = sized_join(docs.withColumn("__key", _key("text")), dropped, same, "left_anti")
+    repeats = found.filter("label is not null or n_shingles = 0").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key2")).agg(F.count(F.lit(1)).alias("n"))
+    repeats = materialize(repeats.filter("n > 1").drop("n"), "near-repeats")
+    if repeats.count():
+        once = sized_join(left, repeats, same, "left_semi").dropDuplicates(["doc_id", "__key"])
+        left = sized_join(left, repeats, same, "left_anti").unionByName(once)
+    return left.drop("__key")

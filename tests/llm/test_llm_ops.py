@@ -371,6 +371,18 @@ def test_near_copies(docs, empty):
     assert {r["doc_id"] for r in left.collect()} == {c for _, _, c in reference_components(ROWS)} | {None}
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcdef")
+    rows = [(1, a), (2, a + " more"), (2, b), (None, c), (None, c + " more"), (None, "so " + c), (9, d), (9, d), (4, ""), (4, ""), (None, None), (None, None)]
+    rows += [(20, e), (20, e + " more"), (21, e), (30, f), (30, "clean " + b[::-1]), (31, f + " more"), (None, a), (None, "so " + a)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string").repartition(3)
+    left = near_join.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str)
+    assert sorted(str(i) for i, _ in got) == sorted(map(str, [1, 2, 4, 9, 20, 30, 30, None, None, None]))
+    assert {(1, a), (2, b), (9, d), (4, ""), (None, None), (30, f), (30, "clean " + b[::-1])} <= set(got)
+
+
 def test_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(near_join, "BLOCK_CLASSES", 40)
     rng = np.random.default_rng(5)
