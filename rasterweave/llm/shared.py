@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that may be broadcast, and most bytes of a column of varying width; larger sides take the
@@ -19,6 +19,9 @@ BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
 #: Rows of a batch that goes to Python; whole texts are large, and a batch lies in memory on both sides.
 BATCH_ROWS = 1_000
 
+#: Bytes that a Python task holds of a bucket at once, about.
+BUCKET_BYTES = 32_000_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -42,6 +45,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores added as it takes to be no name among ``columns``, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def buckets_for(spark: SparkSession, size: int, most: int = BUCKET_BYTES) -> int:
+    """How many buckets hold ``size`` bytes at ``most`` each: as many as there are partitions, or a multiple of them."""
+    parts = partitions(spark)
+    return parts * max(1, -(-size // (parts * most)))
+
+
+def dealt(df: DataFrame, buckets: int, column: str = "bucket", *order: str) -> DataFrame:
+    """Rows dealt out by ``column``, which counts from 0 to ``buckets`` - 1: each partition holds a run of as many
+    buckets as the others, in order, so a task may take its buckets one by one and hold one at a time."""
+    parts = min(buckets, partitions(df.sparkSession))
+    return df.repartitionById(parts, (F.col(column).cast("long") * parts / buckets).cast("int")).sortWithinPartitions(column, *order)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer takes ``df`` to hold: for tables, the size of their files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt out over all cores if it is so small that its few files or row groups leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores) if input_bytes(df) <= cores * split else df
+
+
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session set to send Python at most ``BATCH_ROWS`` rows at once (fewer if it is set so)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -50,6 +98,21 @@ def text_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def keep_rows(docs: DataFrame, key: Column, dropped: DataFrame, repeats: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows whose id and ``key`` are a row of ``dropped``, and with one row of each in ``repeats``.
+
+    Both tables are (id, key), nulls equal to nulls; ``docs`` may have columns of any names.
+    """
+    own, its_id, its_key = free_names(docs.columns, "__key", "__id", "__key2")
+    same = [named(id_col).eqNullSafe(F.col(its_id)), F.col(own) == F.col(its_key)]
+    dropped, repeats = (materialize(x.toDF(its_id, its_key), "rows") for x in (dropped, repeats))
+    left = sized_join(docs.withColumn(own, key), dropped, same, "left_anti")
+    if repeats.limit(1).count():
+        once = sized_join(left, repeats, same, "left_semi").dropDuplicates([id_col, own])
+        left = sized_join(left, repeats, same, "left_anti").unionByName(once)
+    return left.drop(own)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that no later plan reads."""
     spark = df.sparkSession

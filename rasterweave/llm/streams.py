@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 
+import numpy as np
 import pyarrow as pa
 
 
@@ -36,23 +37,25 @@ def trimmed(run):
     return wrapped
 
 
+def runs(batches, keys: int):
+    """Yields (key tuple, rows) for each run of rows of a batch that agree in their first ``keys`` columns, integers."""
+    for batch in batches:
+        if batch.num_rows:
+            names = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(keys)], 1)
+            at = np.flatnonzero(np.append(True, (names[1:] != names[:-1]).any(1)))
+            for a, b in zip(at, np.append(at[1:], len(names)), strict=True):
+                yield tuple(names[a].tolist()), batch.slice(a, b - a)
+
+
 def sorted_groups(batches, keys: int):
-    """Yields (key tuple, pa.Table of the group's rows) from batches sorted by their first ``keys`` columns."""
+    """Yields (key tuple, pa.Table of the group's rows) from batches sorted by their first ``keys`` columns, integers."""
     held: list[pa.RecordBatch] = []
     now = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        names = list(zip(*(batch.column(i).to_pylist() for i in range(keys)), strict=True))
-        at = 0
-        for i in range(1, len(names) + 1):
-            if i == len(names) or names[i] != names[at]:
-                if names[at] != now:
-                    if held:
-                        yield now, pa.Table.from_batches(held)
-                    held, now = [], names[at]
-                held.append(batch.slice(at, i - at))
-                at = i
+    for name, part in runs(batches, keys):
+        if name != now:
+            if held:
+                yield now, pa.Table.from_batches(held)
+            held, now = [], name
+        held.append(part)
     if held:
         yield now, pa.Table.from_batches(held)
-
