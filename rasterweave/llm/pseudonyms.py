@@ -4,28 +4,39 @@ One pattern finds candidates in a text; each is validated for its kind. Numbers
 phone numbers, social security and account numbers, network addresses) and calendar dates are permuted within their
 format by a keyed Feistel network: ten rounds over two halves, round function SHA-256 of key, kind, length, round and
 half. The permutation of a value depends on nothing else, so equal values stay equal in all documents and unequal
-ones unequal; separators stay in place, check digits are computed anew, dates stay dates between 1900 and 2099.
-Mail names, access keys and secrets, which are no numbers, take keyed digits of the same alphabet instead.
+ones unequal; separators stay in place, check digits are computed anew, dates stay dates between 1900 and 2099. A date
+is permuted among the dates that are written in its form: with slashes, those that read as month, day, year, or else
+those that read as day, month, year only, so that no two strings meet. Mail names, access keys and secrets, which are no
+numbers, take keyed digits of the same alphabet and length instead (mail names: twelve).
+
+Whoever has the key can undo the permutation, so there is no key in this file: callers bring theirs, and the queries take
+the session's ``spark.rasterweave.pseudonym.key``, or, where that is unset, one drawn for this application alone, whose
+pseudonyms link documents within it but not beyond.
 
 A run of digits may hold a card beside other numbers (its date, its security code): where the whole run fails the check
 digit, its stretches of whole groups are tried.
 
 Defined cases: null text stays null, empty text empty; a candidate that fails validation stays as it is; text
-outside the values is untouched; repeated rows are treated alike; other columns pass through ``pseudonymize``
-unchanged and a clash with its own names is impossible, as they begin with two underscores; null ids are kept.
+outside the values is untouched; values may be of any length; repeated rows are treated alike; other columns pass
+through ``pseudonymize`` unchanged, whatever their names, as its own are chosen among those that are free; null ids are
+kept; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.llm.shared import free_names, named, spread
+
 #: What candidates look like, in order of precedence at one place.
 PATTERNS = {
-    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,128}[\"']?",
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,125}\.[A-Za-z]{2,63}",
+    "secret": r"(?<![A-Za-z0-9_])(?i:password|passwd|pwd|token|secret|api_?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+[\"']?",
     "access": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])(?=\d*+[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)",
     "address": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
@@ -198,8 +209,9 @@ def _account(key: str, m: str) -> str:
     return _let(f"replace({m}, ' ', '')", body)
 
 
-#: Days from 1900-01-01 to 2099-12-31, and the side of the least square that holds them.
-_DAYS, _SIDE = 73_049, 271
+#: Days from 1900-01-01 to 2099-12-31, the side of the least square that holds them, and most steps of a walk: at
+#: least 3 in 5 numbers of the square end one.
+_DAYS, _SIDE, _STEPS = 73_049, 271, 100
 
 
 def _date(key: str, m: str) -> str:
@@ -212,8 +224,10 @@ def _date(key: str, m: str) -> str:
         _serial[0] += 1
         y, i = f"y{_serial[0]}", f"i{_serial[0]}"
         first = _let(f"cast(datediff({d}, date'1900-01-01') as bigint)", once)
-        walk = f"aggregate(sequence(1, 12), {first}, ({y}, {i}) -> if({y} < {_DAYS}, {y}, {once(y)}))"
         us = f"try_to_timestamp({m}, 'MM/dd/yyyy') is not null"
+        # a date of day, month, year alone has a day beyond the 12th; the walk goes on to the next such day
+        fits = f"{y} < {_DAYS} and (day(date_add(date'1900-01-01', cast({y} as int))) > 12 or not {m} like '%/%' or {us})"
+        walk = f"aggregate(sequence(1, {_STEPS}), {first}, ({y}, {i}) -> if({fits}, {y}, {once(y)}))"
         form = lambda n: f"case when {m} like '____-%' then date_format({n}, 'yyyy-MM-dd') when {m} like '%.%' then date_format({n}, 'dd.MM.yyyy') when {us} then date_format({n}, 'MM/dd/yyyy') else date_format({n}, 'dd/MM/yyyy') end"
         return f"if({d} between date'1900-01-01' and date'2099-12-31', {_let(f'date_add(date\'1900-01-01\', cast({walk} as int))', form)}, {m})"
 
@@ -221,8 +235,10 @@ def _date(key: str, m: str) -> str:
 
 
 def _keyed(key: str, kind: str, value: str, n: str) -> str:
-    """SQL: ``n`` keyed hexadecimal digits for ``value``."""
-    return f"substring(concat(sha2(concat_ws(':', {_sql(key)}, '{kind}', 'a', {value}), 256), sha2(concat_ws(':', {_sql(key)}, '{kind}', 'b', {value}), 256)), 1, {n})"
+    """SQL: ``n`` keyed hexadecimal digits for ``value``, in blocks of 64."""
+    _serial[0] += 1
+    i = f"i{_serial[0]}"
+    return f"substring(array_join(transform(sequence(0, ({n} - 1) div 64), {i} -> sha2(concat_ws(':', {_sql(key)}, '{kind}', {i}, {value}), 256)), ''), 1, {n})"
 
 
 def _mail(key: str, m: str) -> str:
@@ -230,8 +246,11 @@ def _mail(key: str, m: str) -> str:
 
 
 def _secret(key: str, m: str) -> str:
-    value = f"regexp_extract({m}, '[=:]\\\\s*[\"\\']?([A-Za-z0-9+/_-]+)', 1)"
-    return _let(value, lambda v: f"replace({m}, {v}, {_keyed(key, 'secret', v, f'length({v})')})")
+    def body(n: str) -> str:
+        value = f"regexp_extract(substring({m}, {n} + 1), '^[A-Za-z0-9+/_-]+', 0)"
+        return _let(value, lambda v: f"concat(substring({m}, 1, {n}), {_keyed(key, 'secret', v, f'length({v})')}, substring({m}, {n} + length({v}) + 1))")
+
+    return _let(f"length(regexp_extract({m}, '^[^=:]*[=:]\\\\s*[\"\\']?', 0))", body)
 
 
 def _access(key: str, m: str) -> str:
@@ -264,24 +283,39 @@ def _every() -> str:
     return "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def pseudonymize(docs: DataFrame, key: str = "corpus", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``text_col`` replaced, and __found: (kind, value, pseudonym) of each value in turn."""
-    text = F.col(text_col).cast("string")
-    maybe = text.rlike(_HINT)
-    found = F.when(maybe, F.expr(f"regexp_extract_all(__text, {_sql(_every())}, 0)")).otherwise(F.array().cast("array<string>"))
-    pieces = F.when(F.size("__m") > 0, F.expr(f"split(__text, {_sql(_every())}, -1)"))
-    changed = F.expr(f"transform(__m, m -> transform({values_of('m')}, x -> named_struct('kind', x.k, 'value', x.t, 'pseudonym', {pseudonym('x.t', 'x.k', key)})))")
-    joined = F.expr("concat(array_join(zip_with(slice(__pieces, 1, size(__new)), __new, (p, n) -> concat(p, array_join(n.pseudonym, ''))), ''), element_at(__pieces, -1))")
-    out = docs.withColumn("__text", text).withColumn("__m", found).withColumn("__pieces", pieces).withColumn("__new", F.when(F.size("__m") > 0, changed))
-    out = out.withColumn("__joined", F.when(F.size("__m") > 0, joined).otherwise(F.col("__text")))
-    result: list[Column] = [F.col("__joined").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    real = F.filter(F.coalesce(F.flatten("__new"), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")), lambda x: x["value"] != x["pseudonym"])
-    return out.select(*result, real.alias("__found"))
+#: The setting that names the key, and the keys drawn where it is unset, by application.
+KEY_SETTING = "spark.rasterweave.pseudonym.key"
+_DRAWN: dict[str, str] = {}
 
 
-def private_values(docs: DataFrame, key: str = "corpus", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The session's key; where none is set, one drawn for the application."""
+    return spark.conf.get(KEY_SETTING, None) or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(16))
+
+
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with ``text_col`` replaced, and __found: (kind, value, pseudonym) of each value in turn.
+
+    ``key``: the secret of the permutation, not empty. __found takes more underscores if ``docs`` has that name.
+    """
+    if not key:
+        raise ValueError("a key is needed")
+    whole, many, pieces, new, joined, result = free_names(docs.columns, "__text", "__m", "__pieces", "__new", "__joined", "__found")
+    text = named(text_col).cast("string")
+    found = F.when(text.rlike(_HINT), F.expr(f"regexp_extract_all({whole}, {_sql(_every())}, 0)")).otherwise(F.array().cast("array<string>"))
+    some = F.size(many) > 0
+    changed = F.expr(f"transform({many}, m -> transform({values_of('m')}, x -> named_struct('kind', x.k, 'value', x.t, 'pseudonym', {pseudonym('x.t', 'x.k', key)})))")
+    put = F.expr(f"concat(array_join(zip_with(slice({pieces}, 1, size({new})), {new}, (p, n) -> concat(p, array_join(n.pseudonym, ''))), ''), element_at({pieces}, -1))")
+    out = docs.withColumn(whole, text).withColumn(many, found).withColumn(pieces, F.when(some, F.expr(f"split({whole}, {_sql(_every())}, -1)"))).withColumn(new, F.when(some, changed))
+    out = out.withColumn(joined, F.when(some, put).otherwise(F.col(whole)))
+    kept: list[Column] = [F.col(joined).alias(c) if c == text_col else named(c) for c in docs.columns]
+    real = F.filter(F.coalesce(F.flatten(new), F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")), lambda x: x["value"] != x["pseudonym"])
+    return out.select(*kept, real.alias(result))
+
+
+def private_values(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, has_private, n_private, kinds (sorted), text with pseudonyms."""
-    out = pseudonymize(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), key)
+    out = pseudonymize(spread(docs).select(named(id_col).alias("doc_id"), named(text_col).alias("text")), key)
     return out.select(
         "doc_id", (F.size("__found") > 0).alias("has_private"), F.size("__found").cast("long").alias("n_private"), F.array_join(F.array_sort(F.array_distinct(F.col("__found.kind"))), ",").alias("kinds"), "text"
     )

@@ -10,7 +10,7 @@ from rasterweave.llm.exact_dedup import exact_dedup
 from rasterweave.llm.mixing import mix_sources
 from rasterweave.llm.near_join import near_components
 from rasterweave.llm.packing import pack_documents
-from rasterweave.llm.pseudonyms import private_values
+from rasterweave.llm.pseudonyms import private_values, session_key
 from rasterweave.llm.quality import fit_quality, score_quality
 from rasterweave.llm.spans import remove_repeats
 from rasterweave.llm.token_store import read_tokens, token_folder, write_tokens
@@ -32,7 +32,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return private_values(_documents(spark, sf_dir))
+    return private_values(_documents(spark, sf_dir), session_key(spark))
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
