@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize, sized_join
+from rasterweave.llm.shared import free_names, materialize, named, sized_join, spread
 from rasterweave.llm.textfn import filled, word_count
 
 #: Ranges of the rank into which each source's words are summed.
@@ -62,7 +62,7 @@ def mix_sources(
     bins: int = RANK_BINS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, copies, taken (copies * size)."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(filled(F.col(text_col))).alias("size"))
+    sized = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(filled(F.col(text_col))).alias("size"))
     # 52 bits of md5, which every engine has, moved off 0 and 1.
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string")))
     uniform = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
@@ -110,11 +110,15 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it has copies."""
-    copies = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    copies = materialize(copies.filter("__copies <> 1"), "mix-copies")
-    sized = docs.withColumn("__words", word_count(filled(F.col("text"))))
-    on = [sized["doc_id"].eqNullSafe(copies["__id"]), sized["__words"] == copies["__size"], sized["source"].cast("string").eqNullSafe(copies["__source"])]
-    joined = sized_join(sized, copies, on, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)).cast("int"))
-    repeated = joined.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return repeated.select(*[joined[f"`{c}`"] for c in docs.columns])
+    """``docs`` as the mix takes them: each row as often as it has copies.
+
+    Rows that agree in id, size and source are taken alike, each as often as the one of them with most copies; other
+    columns may have any names; an empty table gives an empty one.
+    """
+    words, i, size, source, n, copy = free_names(docs.columns, "__words", "__id", "__size", "__source", "__copies", "__copy")
+    copies = mix_sources(docs, **options).groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies")).filter("copies <> 1")
+    copies = materialize(copies.toDF(i, size, source, n), "mix-copies")
+    on = [named("doc_id").eqNullSafe(F.col(i)), F.col(words) == F.col(size), named("source").cast("string").eqNullSafe(F.col(source))]
+    joined = sized_join(docs.withColumn(words, word_count(filled(named("text")))), copies, on, "left").withColumn(n, F.coalesce(n, F.lit(1)).cast("int"))
+    repeated = joined.filter(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    return repeated.select(*[named(c) for c in docs.columns])
