@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm.boosting import BoostedTrees
-from rasterweave.llm.shared import materialize, text_batches
+from rasterweave.llm.shared import materialize, named, spread, text_batches
 from rasterweave.llm.streams import trimmed
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, word_hashes
 
@@ -125,7 +125,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     """Trees fitted on at most ``sample_rows`` labelled documents outside the held-out fifth."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("double").alias("y"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    texts = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    texts = text_batches(spread(docs)).select(named(id_col).alias("doc_id"), named(text_col).cast("string").cast("binary").alias("text"))
     rows = texts.join(F.broadcast(materialize(known, "quality-labels")), "doc_id").select("y", "text")
     packed = _with_statistics(rows, "y double, c0 binary", lambda x: [pa.array([r.astype("<f8").tobytes() for r in x], pa.binary())])
     found = sorted((r["c0"], r["y"]) for r in packed.collect())
@@ -135,7 +135,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 
 def score_quality(docs: DataFrame, model: BoostedTrees, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, held_out, score, predicted."""
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    rows = text_batches(spread(docs)).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").cast("binary").alias("text"))
     scored = _with_statistics(rows, "doc_id long, c0 double", lambda x: [pa.array(model.predict(x), pa.float64())])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), F.col("c0").alias("score"), (F.col("c0") >= threshold).cast("int").alias("predicted"))

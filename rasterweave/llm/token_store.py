@@ -13,6 +13,7 @@ of document ids, nulls first; the manifest row of each file tells its place.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -22,14 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize, shared_dir, text_batches
+from rasterweave.llm.shared import materialize, named, partitions, shared_dir, text_batches
 from rasterweave.llm.streams import trimmed
-from rasterweave.llm.tokens import SLICE, encoder
+from rasterweave.llm.tokens import encoder
 
 CHUNK_BITS = 8
 RANK_STEP = 512
-#: Ids of a file; a task begins another file beyond it.
-FILE_IDS = 16_000_000
+#: Ids of a file; a task begins another file beyond it. Texts tokenised at once.
+FILE_IDS, SLICE = 16_000_000, 1_000
 
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 
@@ -109,7 +110,9 @@ class TokenFile:
 def _file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))  # Hadoop's names of one store
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -118,9 +121,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, end
     Null text is empty and has its end id alone; a null document id comes first; rows that repeat an id follow
     one another; an empty table writes no file. Each task renames a finished file, so a repeated task is harmless.
     """
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    rows = text_batches(docs).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").cast("binary").alias("text"))
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches):
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
@@ -179,8 +181,13 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 
 
 def token_folder(spark) -> str:
-    """A new folder for token files in the shared folder."""
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    """A new folder for token files in the shared folder; it goes when the application ends."""
+    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return folder
 
 
 def ids_crc32(ids: np.ndarray) -> int:
