@@ -16,8 +16,9 @@ from rasterweave.operators.dense import dense_rgb, to_pixels, to_rows
 from rasterweave.operators.regions import components_tiled
 from rasterweave.operators.tiles import run_tiled
 from rasterweave.plans import runtime
+from rasterweave.plans.frame import Serial
 from rasterweave.sources import fixtures as fx
-from rasterweave.sources import images, jpeg
+from rasterweave.sources import framewire, images, jpeg
 from rasterweave.sources.fixtures import LI, PAIR, PX, RGB
 
 QUERIES: dict = {}
@@ -639,9 +640,10 @@ def fft_magnitude(spark, d):
     return _px(_spectrum(spark, d), magnitude=_r(F.hypot("re", "im"), 3))
 
 
-@query(f"WITH {_DFT} SELECT image_id, y, x, round(atan2(im, re), 3) + 0.0 AS phase FROM sp WHERE abs(im) > 0.001")
+@query(f"WITH {_DFT} SELECT image_id, y, x, round(atan2(round(im, 6) + 0.0, round(re, 6) + 0.0), 3) + 0.0 AS phase FROM sp")
 def fft_phase(spark, d):
-    return _px(_spectrum(spark, d).filter(F.abs("im") > 0.001), phase=_r(F.atan2("im", "re"), 3))
+    # parts that are 0 but for rounding are 0, so that the phase of real values is 0 or pi in any summation
+    return _px(_spectrum(spark, d), phase=_r(F.atan2(_r(F.col("im")), _r(F.col("re"))), 3))
 
 
 @query(_sql("v").replace("y, x, v FROM", "((y + 4) % 8)::INT AS y, ((x + 4) % 8)::INT AS x, v FROM"))
@@ -768,31 +770,15 @@ def create_image(spark, d):
 
 @query(f"WITH {PX} SELECT image_id, y, x, v FROM px")
 def framewire_roundtrip(spark, d):
-    import tempfile
+    wire = Serial(spark, framewire.wire_folder(spark))
+    wire.send_images(_packed(spark, d).repartition(4, "image_id"), named=True)
+    return images.pixels_of(wire.named_images()).select("image_id", "y", "x", "v")
 
-    from rasterweave.sources.framewire import FramewireSource
 
-    spark.dataSource.register(FramewireSource)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = tempfile.mkdtemp(prefix="frames_", dir=base.removeprefix("file://") if base and base.startswith("file:") else None)
-    frames = _packed(spark, d).select(F.col("image_id").alias("seq"), F.lit("image").alias("kind"), "width", "height", "format", "depth", F.lit(None).cast("int").alias("element_bytes"), F.col("pixels").alias("payload"))
-    # a frame has no number of its own; one task keeps the order of ids, a stream being one line
-    frames.repartitionByRange(1, "seq").sortWithinPartitions("seq").write.format("framewire").option("path", folder).mode("append").save()
-    back = spark.read.format("framewire").option("path", folder).load()
-    ids = fx.img8(spark, d).select(F.col("image_id"), (F.row_number().over(_by_id()) - 1).cast("long").alias("seq"))
-    named = back.join(ids, "seq").select("image_id", "width", "height", "format", "depth", F.col("payload").alias("pixels"))
-    return images.pixels_of(named).select("image_id", "y", "x", "v")
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.orderBy("image_id")
-
-
-@query()
+@query("SELECT vec_id AS image_id, 'FFD8' AS starts, 'FFD9' AS ends, 8 AS width, 8 AS height, TRUE AS within FROM embeddings")
 def jpeg_encode(spark, d):
-    return jpeg.compress(_packed(spark, d), 80).select("image_id", "size", F.upper(F.hex(F.substring("jpeg", 1, 2))).alias("starts"))
+    packed = _packed(spark, d)
+    return jpeg.check(packed, jpeg.compress(packed, 80), 80)
 
 
 _GOOD = {

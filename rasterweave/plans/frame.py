@@ -2,7 +2,8 @@
 
 An ``ImageFrame`` holds pixel rows (image_id, y, x and v, or c0, c1, c2); nothing runs until rows are asked for. Point
 operators stay projections; order-free statistics are aggregations; kernels gather each image into a row first, on
-one exchange by image.
+one exchange by image. Kernels that follow one another run in one pass over these rows: pixels are made only for an
+operator that needs them.
 """
 
 from __future__ import annotations
@@ -10,26 +11,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions import color, kernels, point
 from rasterweave.operators import histogram as hist
 from rasterweave.operators import longform, segment
-from rasterweave.operators.dense import to_pixels, to_rows
+from rasterweave.operators.dense import ARROW, to_pixels, to_rows
 from rasterweave.operators.tiles import run_tiled
-from rasterweave.schema import DEPTH, num_channels, require
+from rasterweave.schema import DEPTH, RESOLUTIONS, num_channels, require
+from rasterweave.sources import framewire, jpeg
 from rasterweave.sources import images as sources
-from rasterweave.sources import jpeg
 
 AT = ["image_id", "y", "x"]
 
 
+def _run(stack: np.ndarray, steps: tuple[tuple[Callable, str], ...]) -> np.ndarray:
+    """Kernels one after the other, each result in its type; one that loses digits in it is an error."""
+    for f, kind in steps:
+        out = f(stack)
+        stack = np.asarray(pa.array(out.ravel()).cast(ARROW[kind])).reshape(out.shape)
+    return stack
+
+
 class ImageFrame:
-    def __init__(self, px: DataFrame, width: int, height: int, fmt: str = "GRAYSCALE"):
+    def __init__(self, px: DataFrame | None, width: int, height: int, fmt: str = "GRAYSCALE"):
         require(fmt in DEPTH, "INVALID_FORMAT", fmt)
         require(width > 0 and height > 0, "INVALID_SIZE")
-        self.px, self.width, self.height, self.fmt = px, width, height, fmt
+        self._px, self.width, self.height, self.fmt = px, width, height, fmt
+        #: Instead of pixels: dense rows, and the kernels to run on them in turn, each with the type of its result.
+        self._rows: DataFrame | None = None
+        self._steps: tuple[tuple[Callable, str], ...] = ()
+
+    @property
+    def px(self) -> DataFrame:
+        """Pixel rows."""
+        if self._px is None:
+            steps, names = self._steps, tuple(f"p_{c}" for c in self.columns)
+            self._px = to_pixels(self._rows, lambda *s: tuple(_run(x, steps) for x in s), {c: steps[-1][1] for c in self.columns}, names)
+        return self._px
 
     # --- making and leaving -------------------------------------------------------------------------------------
 
@@ -60,7 +81,7 @@ class ImageFrame:
     def compress_jpeg(self, quality: int = 75) -> DataFrame:
         return jpeg.compress(self.images(), quality)
 
-    def _with(self, px: DataFrame, fmt: str | None = None, size: tuple[int, int] | None = None) -> "ImageFrame":
+    def _with(self, px: DataFrame | None, fmt: str | None = None, size: tuple[int, int] | None = None) -> "ImageFrame":
         width, height = size or (self.width, self.height)
         return ImageFrame(px, width, height, fmt or self.fmt)
 
@@ -73,9 +94,9 @@ class ImageFrame:
 
     def _kernel(self, f: Callable, kind: str = "double", size: tuple[int, int] | None = None) -> "ImageFrame":
         """A numpy kernel on each channel."""
-        names = tuple(f"p_{c}" for c in self.columns)
-        out = to_pixels(self.dense(), lambda *s: tuple(f(x) for x in s), {c: kind for c in self.columns}, names)
-        return self._with(out, None, size)
+        out = self._with(None, None, size)
+        out._rows, out._steps = (self.dense() if self._rows is None else self._rows), (*self._steps, (f, kind))
+        return out
 
     def tiled(self, kernel: Callable, kind: str, tile: int, margin: int) -> "ImageFrame":
         """A kernel that looks no further than ``margin``, tile by tile: for images too large for one row."""
@@ -357,18 +378,29 @@ class Camera:
         self.resolution, self.fmt = resolution, fmt
         return self
 
+    def set_res(self, resolution: str) -> "Camera":
+        """Another resolution, the format kept."""
+        require(self.fmt is not None, "NOT_INITIALIZED")
+        return self.init(resolution, self.fmt)
+
+    def stop(self) -> None:
+        """No more captures until ``init``."""
+        self.resolution = self.fmt = None
+
     def capture(self, continuous: bool = False) -> DataFrame:
+        """Images at the camera's resolution; files of another size are scaled to it, those that are no images left out."""
         require(self.resolution is not None, "NOT_INITIALIZED")
-        return sources.stream_pnm(self.spark, self.path) if continuous else sources.read_pnm(self.spark, self.path)
+        found = sources.stream_pnm(self.spark, self.path) if continuous else sources.read_pnm(self.spark, self.path)
+        return sources.scaled(found.filter("status = 'OK'").drop("status"), *RESOLUTIONS[self.resolution])
+
+    setRes = set_res
 
 
 class Serial:
     """Frames on a byte stream, in files."""
 
     def __init__(self, spark, path: str, swap: bool = False):
-        from rasterweave.sources.framewire import FramewireSource
-
-        spark.dataSource.register(FramewireSource)
+        spark.dataSource.register(framewire.FramewireSource)
         self.spark, self.path, self.swap = spark, path, str(swap).lower()
 
     def capture(self) -> DataFrame:
@@ -377,8 +409,14 @@ class Serial:
     def send(self, frames: DataFrame) -> None:
         frames.write.format("framewire").option("path", self.path).option("swap", self.swap).mode("append").save()
 
-    def send_images(self, dense: DataFrame) -> None:
-        self.send(dense.select(F.col("image_id").alias("seq"), F.lit("image").alias("kind"), "width", "height", "format", "depth", F.lit(None).cast("int").alias("element_bytes"), F.col("pixels").alias("payload")))
+    def send_images(self, dense: DataFrame, named: bool = False) -> None:
+        """``named``: each image after a frame with its id, for ``named_images``."""
+        frames = dense.select("image_id", F.col("image_id").alias("seq"), F.lit("image").alias("kind"), "width", "height", "format", "depth", F.lit(None).cast("int").alias("element_bytes"), F.col("pixels").alias("payload"))
+        self.send(framewire.name_frames(frames) if named else frames.drop("image_id"))
+
+    def named_images(self) -> DataFrame:
+        """The images that were sent with their ids, as dense rows."""
+        return framewire.named_frames(self.capture()).select("image_id", "width", "height", "format", "depth", F.lit("PIXELS").alias("state"), F.col("payload").alias("pixels"))
 
     def send_jpeg(self, compressed: DataFrame) -> None:
         none = F.lit(None)
@@ -394,11 +432,31 @@ class Display:
     """Shows images as files in a folder."""
 
     FORMATS = ("RGB888", "RGB565", "GRAYSCALE")
+    #: Width and height of the panel.
+    SIZE = (480, 272)
 
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.on = folder, True
+
+    def init(self) -> "Display":
+        self.on = True
+        return self
+
+    def deinit(self) -> None:
+        """Shows nothing more until ``init``."""
+        self.on = False
+
+    def reset(self) -> None:
+        """There is nothing to set anew."""
+
+    def clear(self, spark, colour: str = "BLACK") -> int:
+        """A panel full of a named colour, as image 0."""
+        width, height = self.SIZE
+        px = spark.range(height).select(F.lit(0).cast("long").alias("image_id"), F.col("id").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"), F.lit(0).alias("v"))
+        return self.show(ImageFrame(sources.clear(px, colour), width, height, "RGB565"))
 
     def show(self, frame: ImageFrame) -> int:
+        require(self.on, "NOT_INITIALIZED")
         require(frame.fmt in self.FORMATS, "INVALID_FORMAT", frame.fmt)
         shown = frame.convert("RGB888") if frame.fmt == "RGB565" else frame
         return sources.write_pnm(shown.images(), self.folder)

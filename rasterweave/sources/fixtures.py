@@ -50,11 +50,12 @@ def levels_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("image_id"), (F.col("l_quantity") * 5).cast("int").alias("v"))
 
 
-PX = """px AS (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
+PX = """px AS MATERIALIZED (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
         greatest(0, least(255, floor((embedding[i]::DOUBLE + 0.6) * 200)))::INT AS v FROM embeddings, range(1, 65) r(i))"""
-RGB = f"""{PX}, rgb AS (SELECT a.image_id, a.y, a.x, a.v AS c0, b.v AS c1, c.v AS c2 FROM px a
-        JOIN px b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x
-        JOIN px c ON c.image_id = a.image_id + 2 AND c.y = a.y AND c.x = a.x WHERE a.image_id % 3 = 0)"""
-PAIR = f"""{PX}, pr AS (SELECT a.image_id, a.y, a.x, a.v AS va, b.v AS vb FROM px a
-        JOIN px b ON b.image_id = a.image_id + 1 AND b.y = a.y AND b.x = a.x WHERE a.image_id % 2 = 0)"""
+RGB = f"""{PX}, rgb AS MATERIALIZED (SELECT image_id - image_id % 3 AS image_id, y, x, max(v) FILTER (image_id % 3 = 0) AS c0,
+        max(v) FILTER (image_id % 3 = 1) AS c1, max(v) FILTER (image_id % 3 = 2) AS c2 FROM px GROUP BY image_id - image_id % 3, y, x
+        HAVING c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL)"""
+PAIR = f"""{PX}, pr AS MATERIALIZED (SELECT image_id - image_id % 2 AS image_id, y, x, max(v) FILTER (image_id % 2 = 0) AS va,
+        max(v) FILTER (image_id % 2 = 1) AS vb FROM px GROUP BY image_id - image_id % 2, y, x
+        HAVING va IS NOT NULL AND vb IS NOT NULL)"""
 LI = "li AS (SELECT l_suppkey AS image_id, trunc(l_quantity * 5)::INT AS v FROM lineitem)"

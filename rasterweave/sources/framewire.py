@@ -3,17 +3,25 @@
 Fixed values: a frame is ``ST`` and a kind: ``W`` (an image: width, height, format, depth, bytes), ``R`` (a request: the
 same header), ``J`` (JPEG data: length, bytes), ``1`` to ``7`` (an array: count, bytes an element, bytes). Numbers are
 little-endian, 32 bits, the array's element size 8 bits.
+
+A frame has no name on the wire. Reading tells it by its file and its number there, ``file`` and ``seq``; ``frame_id`` is
+one number for both: the file's place among the folder's, by name, and the frame's place in it. Files that come later have
+later names, so numbers stay. An image's own id travels, if asked for, as an array frame of one 64-bit number before it.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import re
 import struct
+import tempfile
 import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -21,7 +29,7 @@ from rasterweave.schema import DEPTH, require
 
 FORMATS = ("GRAYSCALE", "RGB888", "RGB565", "YUV", "HSI", "MASK")
 ARRAYS = ("HISTOGRAM", "PROJECTION", "LINE_PROFILE", "KERNEL", "TEMPORAL_TRACE", "GRADIENT", "OTHER")
-SCHEMA = "seq long, kind string, width int, height int, format string, depth int, element_bytes int, payload binary"
+SCHEMA = "seq long, kind string, width int, height int, format string, depth int, element_bytes int, payload binary, file string, frame_id long"
 
 
 def swap16(raw: bytes) -> bytes:
@@ -71,9 +79,42 @@ def decode_frames(raw: bytes, swap: bool = False) -> Iterator[tuple]:
         yield (*head, swap16(payload) if swap and head[3] == "RGB565" else payload)
 
 
+def id_payload(number: Column) -> Column:
+    """A 64-bit number as its bytes, lowest first."""
+    return F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(number.cast("long")), 16, "0"), F.lit("(..)"), F.lit(1))), ""))
+
+
+def payload_id(payload: Column) -> Column:
+    return F.conv(F.array_join(F.reverse(F.regexp_extract_all(F.hex(payload), F.lit("(..)"), F.lit(1))), ""), 16, -10).cast("long")
+
+
+def name_frames(frames: DataFrame) -> DataFrame:
+    """Before each frame of (image_id, kind, ...) an array frame with its id; a frame and its name stay together."""
+    first = frames.select("image_id", F.lit("OTHER").alias("kind"), F.lit(8).alias("element_bytes"), id_payload(F.col("image_id")).alias("payload"), F.lit(0).alias("turn"))
+    return first.unionByName(frames.withColumn("turn", F.lit(1)), allowMissingColumns=True).repartition("image_id").sortWithinPartitions("image_id", "turn")
+
+
+def named_frames(frames: DataFrame) -> DataFrame:
+    """Image frames with the ``image_id`` that the array frame before each of them holds."""
+    ids = frames.filter("kind = 'OTHER' and element_bytes = 8 and length(payload) = 8").select((F.col("frame_id") + 1).alias("frame_id"), payload_id(F.col("payload")).alias("image_id"))
+    return frames.filter("kind = 'image'").join(ids, "frame_id")
+
+
+def wire_folder(spark: SparkSession) -> str:
+    """A new folder for frames where executors and driver share one: under ``spark.checkpoint.dir``, which must be a path
+    that all of them mount; a local one where none is set (tests, one machine)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    require(not base or base.startswith(("/", "file:")), "NOT_SUPPORTED", f"frames need a mounted folder, not {base}")
+    if base:
+        base = re.sub("^file:/*", "/", base)
+        os.makedirs(base, exist_ok=True)
+    return tempfile.mkdtemp(prefix="frames_", dir=base)
+
+
 @dataclass
 class _File(InputPartition):
     path: str
+    place: int
 
 
 @dataclass
@@ -86,10 +127,10 @@ def _files(path: str) -> list[str]:
     return sorted(glob.glob(os.path.join(path, "*.frames")) if os.path.isdir(path) else glob.glob(path))
 
 
-def _rows(path: str, swap: bool) -> Iterator[tuple]:
-    with open(path, "rb") as f:
+def _rows(file: _File, swap: bool) -> Iterator[tuple]:
+    with open(file.path, "rb") as f:
         for seq, (kind, width, height, fmt, depth, each, payload) in enumerate(decode_frames(f.read(), swap)):
-            yield (seq, kind, width, height, fmt, depth, each, payload)
+            yield (seq, kind, width, height, fmt, depth, each, payload, os.path.basename(file.path), (file.place << 32) + seq)
 
 
 class _Reader(DataSourceReader):
@@ -97,10 +138,10 @@ class _Reader(DataSourceReader):
         self.path, self.swap = options["path"], options.get("swap", "false").lower() == "true"
 
     def partitions(self):
-        return [_File(p) for p in _files(self.path)]
+        return [_File(p, k) for k, p in enumerate(_files(self.path))]
 
     def read(self, partition):
-        return _rows(partition.path, self.swap)
+        return _rows(partition, self.swap)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -116,10 +157,10 @@ class _StreamReader(DataSourceStreamReader):
         return {"files": len(_files(self.path))}
 
     def partitions(self, start, end):
-        return [_File(p) for p in _files(self.path)[start["files"] : end["files"]]]
+        return [_File(p, k) for k, p in enumerate(_files(self.path)[: end["files"]]) if k >= start["files"]]
 
     def read(self, partition):
-        return _rows(partition.path, self.swap)
+        return _rows(partition, self.swap)
 
     def commit(self, end):
         pass

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave import schema
+from rasterweave.functions import kernels
 from rasterweave.schema import DipError, require
 
 
@@ -98,42 +100,78 @@ def view_row(views: DataFrame, y: int) -> DataFrame:
     return views.withColumn("row", F.when((F.lit(y) >= 0) & (F.lit(y) < F.col("height")), F.substr("pixels", start.cast("int"), (F.col("width") * F.col("depth")).cast("int"))))
 
 
+_PNM = "path string, width int, height int, format string, depth int, state string, pixels binary, status string"
+
+
+def _images_of(files: DataFrame) -> DataFrame:
+    """An image's id is a 64-bit hash of its path."""
+    found = files.select("path", "content").mapInPandas(_parse_pnm, _PNM)
+    return found.select("path", F.xxhash64("path").alias("image_id"), "width", "height", "format", "depth", "state", "pixels", "status")
+
+
 def read_pnm(spark: SparkSession, path: str) -> DataFrame:
-    """PGM and PPM files (binary, 8 bits) as dense images, through Spark's binary file source."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").load(path)
-    return files.select("path", "content").mapInPandas(_parse_pnm, "path string, image_id long, width int, height int, format string, depth int, state string, pixels binary")
+    """PGM and PPM files (binary, 8 bits) as dense images, through Spark's binary file source.
+
+    ``status``: OK, or why a file holds no image; its other columns are null then.
+    """
+    return _images_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").load(path))
 
 
 def stream_pnm(spark: SparkSession, path: str) -> DataFrame:
     """The continuous form of ``read_pnm``: files that come to a folder, as a stream of images."""
-    found = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    return found.select("path", "content").mapInPandas(_parse_pnm, "path string, image_id long, width int, height int, format string, depth int, state string, pixels binary")
+    return _images_of(spark.readStream.format("binaryFile").option("pathGlobFilter", "*.p[gp]m").schema("path string, modificationTime timestamp, length long, content binary").load(path))
+
+
+def parse_pnm(raw: bytes) -> tuple[int, int, str, bytes]:
+    """(width, height, format, pixels)."""
+    fields, at = [], 0
+    while len(fields) < 4:  # magic, width, height, maximum; comments run to the line's end
+        while raw[at : at + 1].isspace():
+            at += 1
+        if raw[at : at + 1] == b"#":
+            at = raw.find(b"\n", at) + 1 or len(raw)
+            continue
+        end = at
+        while end < len(raw) and not raw[end : end + 1].isspace():
+            end += 1
+        require(end > at, "INVALID_FORMAT", "the header ends early")
+        fields.append(raw[at:end])
+        at = end
+    fmt = {b"P5": "GRAYSCALE", b"P6": "RGB888"}.get(fields[0])
+    require(fmt is not None and fields[3] == b"255" and fields[1].isdigit() and fields[2].isdigit(), "INVALID_FORMAT")
+    width, height = int(fields[1]), int(fields[2])
+    size = width * height * schema.DEPTH[fmt]
+    require(size > 0 and len(raw) >= at + 1 + size, "INVALID_SIZE")
+    return width, height, fmt, raw[at + 1 : at + 1 + size]
 
 
 def _parse_pnm(batches):
-    import zlib
-
     for batch in batches:
         out = []
         for path, raw in zip(batch["path"], batch["content"], strict=True):
-            fields, at = [], 0
-            while len(fields) < 4:  # magic, width, height, maximum; comments run to the line's end
-                while raw[at : at + 1].isspace():
-                    at += 1
-                if raw[at : at + 1] == b"#":
-                    at = raw.index(b"\n", at)
-                    continue
-                end = at
-                while end < len(raw) and not raw[end : end + 1].isspace():
-                    end += 1
-                fields.append(raw[at:end])
-                at = end
-            fmt = {b"P5": "GRAYSCALE", b"P6": "RGB888"}.get(fields[0])
-            if fmt is None or fields[3] != b"255":
-                raise DipError("INVALID_FORMAT", path)
-            w, h, depth = int(fields[1]), int(fields[2]), schema.DEPTH[fmt]
-            out.append((path, zlib.crc32(path.encode()), w, h, fmt, depth, "PIXELS", raw[at + 1 : at + 1 + w * h * depth]))
-        yield pd.DataFrame(out, columns=["path", "image_id", "width", "height", "format", "depth", "state", "pixels"])
+            try:
+                width, height, fmt, pixels = parse_pnm(raw)
+                out.append((path, width, height, fmt, schema.DEPTH[fmt], "PIXELS", pixels, "OK"))
+            except DipError as e:
+                out.append((path, None, None, None, None, None, None, e.status))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in _PNM.split(", ")]).astype({c: "Int32" for c in ("width", "height", "depth")})
+
+
+def scaled(images: DataFrame, width: int, height: int) -> DataFrame:
+    """Images of one byte a channel at another size, by the nearest pixel; those that have it stay as they are."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.itertuples():
+                pixels = bytes(r.pixels)
+                if (r.width, r.height) != (width, height):
+                    planes = np.frombuffer(pixels, np.uint8).reshape(r.height, r.width, r.depth).transpose(2, 0, 1)
+                    pixels = kernels.resize(planes, width, height).astype(np.uint8).transpose(1, 2, 0).tobytes()
+                out.append(pixels)
+            yield batch.assign(pixels=out, width=width, height=height)
+
+    return images.mapInPandas(run, images.schema)
 
 
 def write_pnm(images: DataFrame, folder: str) -> int:

@@ -20,7 +20,7 @@ def capture(spark: SparkSession, path: str, swap: bool = False) -> DataFrame:
 
 def frame_pixels(frames: DataFrame) -> DataFrame:
     """Pixel rows of the image frames, of a stream or a table."""
-    images = frames.filter(F.col("kind") == "image").select(F.col("seq").alias("image_id"), "width", "height", "format", "depth", F.col("payload").alias("pixels"))
+    images = frames.filter(F.col("kind") == "image").select(F.col("frame_id").alias("image_id"), "width", "height", "format", "depth", F.col("payload").alias("pixels"))
     return pixels_of(images)
 
 

@@ -46,6 +46,30 @@ def test_frames_through_spark(spark, tmp_path):
     assert [r["kind"] for r in Serial(spark, str(tmp_path / "wire2")).capture().collect()] == ["jpeg"]
 
 
+def test_frames_of_several_files_stay_apart(spark, tmp_path):
+    dense = spark.createDataFrame([(i, 4, 2, "GRAYSCALE", 1, bytearray([(i * 8 + k) % 256 for k in range(8)])) for i in (-5, 0, 3, 2**40, 77)], "image_id long, width int, height int, format string, depth int, pixels binary")
+    wire = Serial(spark, str(tmp_path / "wire"))
+    wire.send_images(dense.filter("image_id < 3").repartition(1), named=True)
+    wire.send_images(dense.filter("image_id >= 3").repartition(2, "image_id"), named=True)
+    assert len(os.listdir(tmp_path / "wire")) > 1
+    got = wire.named_images().select(*dense.columns)
+    assert sorted((r["image_id"], bytes(r["pixels"])) for r in got.collect()) == sorted((r["image_id"], bytes(r["pixels"])) for r in dense.collect())
+    # without names, frames are told apart by file and place
+    plain = Serial(spark, str(tmp_path / "plain"))
+    for i in (0, 3):
+        plain.send_images(dense.filter(f"image_id = {i}").repartition(1))
+    found = plain.capture().collect()
+    assert sorted((r["seq"], r["frame_id"]) for r in found) == [(0, 0), (0, 1 << 32)] and len({r["file"] for r in found}) == 2
+    pixels = frames.frame_pixels(plain.capture())
+    assert pixels.count() == 16 and pixels.select("image_id", "y", "x").distinct().count() == 16
+
+
+def test_numbers_on_the_wire(spark):
+    df = spark.createDataFrame([(n,) for n in (0, 1, -1, 258, 2**62, -(2**63))], "n long")
+    out = df.select("n", fw.id_payload(F.col("n")).alias("p")).withColumn("back", fw.payload_id(F.col("p"))).collect()
+    assert all(r["back"] == r["n"] and bytes(r["p"]) == r["n"].to_bytes(8, "little", signed=True) for r in out)
+
+
 def test_stream_of_frames(spark, tmp_path):
     wire = Serial(spark, str(tmp_path / "in"))
     wire.send_images(_dense(spark).repartition(1))
@@ -66,6 +90,24 @@ def test_files(spark, tmp_path):
         camera.capture()
     back = camera.init("QVGA", "GRAYSCALE").capture()
     assert back.filter("format = 'GRAYSCALE'").count() == 3 and sorted(bytes(r["pixels"])[0] for r in back.filter("format = 'GRAYSCALE'").collect()) == [0, 8, 16]
+    assert {(r["width"], r["height"], len(r["pixels"])) for r in back.collect()} == {(320, 240, 320 * 240), (320, 240, 320 * 240 * 3)}
+    (tmp_path / "out" / "bad.pgm").write_bytes(b"P5\n4 x\n255\n")
+    (tmp_path / "out" / "short.pgm").write_bytes(b"P5 # a comment\n4 4\n255\n123")
+    every = images.read_pnm(spark, str(tmp_path / "out"))
+    assert {r["status"]: r["n"] for r in every.groupBy("status").agg(F.count("*").alias("n")).collect()} == {"OK": 6, "INVALID_FORMAT": 1, "INVALID_SIZE": 1}
+    assert every.select("image_id").distinct().count() == 8 and camera.capture().count() == 6
+    assert camera.setRes("QQVGA").capture().select("width", "height").distinct().collect() == [(160, 120)]
+    camera.stop()
+    for act in (camera.capture, lambda: camera.set_res("VGA")):
+        with pytest.raises(DipError):
+            act()
+    screen = Display(str(tmp_path / "screen"))
+    assert screen.clear(spark, "RED") == 1 and os.listdir(tmp_path / "screen") == ["0.ppm"]
+    assert (tmp_path / "screen" / "0.ppm").read_bytes().startswith(b"P6\n480 272\n255\n\xf8\x00\x00") or (tmp_path / "screen" / "0.ppm").read_bytes().startswith(b"P6\n480 272\n255\n\xff\x00\x00")
+    screen.deinit()
+    with pytest.raises(DipError):
+        screen.show(f)
+    assert screen.init().show(f) == 3
     with pytest.raises(DipError):
         camera.init("CIF", "GRAYSCALE")
     assert {r["v"] for r in images.clear(f.px, "TEAL").collect()} == {0x0410}
@@ -95,6 +137,16 @@ def test_jpeg_is_read_by_another_decoder(spark):
     assert [r["size"] for r in jpeg.compress(_dense(spark), 50, capacity=10).collect()] == [-1] * 3
     with pytest.raises(DipError):
         jpeg.encode(b"123", 2, 2, "GRAYSCALE")
+    # our own decoder sees what the other one sees, within the bound of the quantisation
+    for quality in (5, 50, 95):
+        raw = jpeg.encode(noise.tobytes(), 16, 16, "GRAYSCALE", quality)
+        assert np.abs(jpeg.decode(raw)[0].clip(0, 255) - _decoded(spark, raw)).max() <= 1.5
+        assert np.sqrt(((jpeg.decode(raw)[0] - noise) ** 2).mean()) <= jpeg.error_bound(quality)
+    y, cb, cr = jpeg.decode(jpeg.encode(rgb.tobytes(), 13, 20, "RGB888", 100))
+    assert np.abs(np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], 2) - rgb).mean() < 2
+    for bad in (b"", b"\xff\xd8\xff\xd9x"):
+        with pytest.raises(DipError):
+            jpeg.decode(bad)
 
 
 IN = rt.Contract(12, 2, 2, 3, flags=frozenset({"NPU_READ"}))

@@ -162,6 +162,31 @@ def test_containers(spark):
         assert e.value.status == status
 
 
+@pytest.mark.parametrize("target", [list(range(256)), [0] * 100 + [7] * 5 + [0] * 50 + [1] * 101, [5] + [0] * 255, [0] * 255 + [9]])
+def test_specification_against_plain_search(spark, target):
+    stack = np.random.default_rng(3).integers(0, 256, (3, 8, 8)) // np.array([1, 9, 200])[:, None, None]
+    px, total = rows_of(spark, stack), sum(target)
+    got = {(r["image_id"], r["level"]): r["mapped"] for r in hist.specification(px, target).collect()}
+    sums = np.cumsum(target)
+    for i, image in enumerate(stack):
+        for level in np.unique(image):
+            cdf = int((image <= level).sum())
+            apart = [abs(cdf * total - int(g) * 64) for g in sums]
+            best = int(np.argmin(apart))
+            assert got[i, level] == (best if apart[best] < 64 * total else 0)
+
+
+def test_kernels_in_turn_gather_once(spark):
+    stack = np.random.default_rng(8).integers(0, 256, (2, 8, 8))
+    f = ImageFrame(rows_of(spark, stack), 8, 8)
+    chain = f.median(3).canny(80, 160)
+    plan = chain.px._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("MapInArrow") == 1
+    assert (stack_of(chain.px, 2, 8, 8) == kernels.canny(kernels.median(stack, 3), 80, 160)).all()
+    element = kernels.structuring_element("CROSS", 3)
+    assert (stack_of(f.erode(element).dilate(element).resize(4, 2).px, 2, 2, 4) == kernels.resize(kernels.dilate(kernels.erode(stack, element), element), 4, 2)).all()
+
+
 def test_frame_methods(spark):
     stack = np.random.default_rng(6).integers(0, 256, (2, 8, 8))
     f = ImageFrame(rows_of(spark, stack), 8, 8)
