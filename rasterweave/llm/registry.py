@@ -77,16 +77,19 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
     "op7_ngram_jaccard": f"""
-        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-        s AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)])
-                                         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-        l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
-        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
-        r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
-        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.root) AS component_id
-        FROM documents d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY d.doc_id, n.n""",
+        WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        k AS MATERIALIZED (SELECT ws, min(doc_id) AS t FROM w GROUP BY ws),
+        s AS MATERIALIZED (SELECT t, unnest(CASE WHEN len(ws) >= 5 THEN list_distinct([ws[i:i + 4] for i in range(1, len(ws) - 3)]) WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS g FROM k),
+        n AS MATERIALIZED (SELECT t, count(*) AS n FROM s GROUP BY t),
+        h AS MATERIALIZED (SELECT t, dense_rank() OVER (ORDER BY g) AS g FROM s),
+        m AS MATERIALIZED (SELECT h.t, n.n, h.g FROM h JOIN n USING (t) WHERE g IN (SELECT g FROM h GROUP BY g HAVING count(*) > 1)),
+        c AS (SELECT a.t AS a, b.t AS b, count(*) AS k, any_value(a.n) AS x, any_value(b.n) AS y FROM m a JOIN m b ON a.g = b.g AND a.t < b.t AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY a.t, b.t),
+        l AS MATERIALIZED (SELECT a, b FROM c WHERE 100 * k >= 75 * (x + y - k)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT t, t AS root FROM k UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.t),
+        f AS (SELECT t, min(root) AS root FROM r GROUP BY t)
+        SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, CASE WHEN len(w.ws) = 0 THEN w.doc_id ELSE f.root END AS component_id
+        FROM w JOIN k USING (ws) JOIN f USING (t) LEFT JOIN n USING (t)""",
     "op10_source_mixing": r"""
         WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
         u AS (SELECT *, (('0x' || substr(md5('7:' || doc_id || ':' || size), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM z),
