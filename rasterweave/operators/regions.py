@@ -7,6 +7,7 @@ equalities, as many as border pixels at most, go through rounds of smallest-labe
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -17,12 +18,29 @@ from rasterweave.operators.dense import to_pixels
 from rasterweave.schema import require
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """A cut of lineage in the folder that the session names; a local one where it names none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="regions_"))
-    return df.checkpoint()
+_LOCAL: list[str] = []
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that the session names (tests, one machine: a local one where it names none)."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        _LOCAL[:] = _LOCAL or ["file://" + tempfile.mkdtemp(prefix="regions_")]
+        folder = _LOCAL[0]
+    path = f"{folder.rstrip('/')}/regions-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _discard(df: DataFrame) -> None:
+    """Deletes a table of ``_written`` that no later plan reads."""
+    spark = df.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def _roots(stack: np.ndarray) -> np.ndarray:
@@ -37,15 +55,17 @@ def _roots(stack: np.ndarray) -> np.ndarray:
 
 def merged_labels(links: DataFrame) -> DataFrame:
     """(image_id, node, label): the smallest node that each node of the links (image_id, a, b) reaches."""
-    both = _checkpointed(links.select("image_id", "a", "b").unionByName(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _checkpointed(both.groupBy("image_id", F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
+    both = _written(links.select("image_id", "a", "b").unionByName(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = _written(both.groupBy("image_id", F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, ["image_id", "node"]).select("image_id", "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = lower.select("image_id", F.col("node").alias("label"), F.col("label").alias("top"))
-        new = _checkpointed(lower.join(up, ["image_id", "label"], "left").select("image_id", "node", "old", F.coalesce("top", "label").alias("label")))
+        new = _written(lower.join(up, ["image_id", "label"], "left").select("image_id", "node", "old", F.coalesce("top", "label").alias("label")))
+        _discard(labels)
         labels = new.drop("old")
         if not new.filter("old <> label").limit(1).count():
+            _discard(both)
             return labels
 
 
@@ -60,7 +80,7 @@ def components_tiled(px: DataFrame, tile: int) -> DataFrame:
     # a region's name in the image: row and column of its first pixel in the tile, as one number
     wide = F.least(F.lit(tile), F.max("x").over(Window.partitionBy("image_id", "ty", "tx")) + 1)
     named = local.withColumn("w", wide).withColumn("node", F.when(F.col("root") >= 0, F.shiftleft((y0 + F.floor(F.col("root") / F.col("w"))).cast("long"), 31) + x0 + F.col("root") % F.col("w")))
-    named = _checkpointed(named.select("image_id", (F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "node"))
+    named = _written(named.select("image_id", (F.col("y") + y0).alias("y"), (F.col("x") + x0).alias("x"), "node"))
 
     set_ = named.filter("node is not null")
     pairs = []
