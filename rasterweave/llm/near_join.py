@@ -6,18 +6,22 @@ global order of tokens: the first m that it has in common come no later. So cand
 several orders, with m growing with the set (``depth``), and the filters are intersected before a pair is verified.
 All orders put frequent tokens last (by counts over the whole table) and differ in how they order the rest.
 
-1. Sets: class, size, the smallest token hashes, and counts of tokens that a task meets in several documents.
-2. Neighbourhoods: classes whose smallest hashes agree in part gather around a common class, so that a group of near
-   copies is compared inside one block by matrix products, and no list of its pairs is ever written.
-3. Prefix join under the first order for all pairs of different neighbourhoods, packed in blocks by token range.
-   Nothing is capped: neighbourhoods only say where a pair is compared.
-4. Candidates pass the other orders and a bound from counts of tokens by hash cell, then are verified exactly.
+1. Sets: class, size, the smallest token hashes, and counts of tokens that a task meets in several documents. A class is
+   named by one half of a 128-bit digest of the set; where the other halves differ, classes of one name are told apart.
+2. Neighbourhoods: classes whose smallest hashes agree in part gather around a common class, their hub, which each of
+   them is a candidate with. In a group of near copies nearly all are linked with the hub, and pairs of two such need no
+   look: they are of one component. The few others meet all of their neighbourhood in blocks, as matrix products.
+3. Prefix join under the first order for all pairs of different neighbourhoods, packed in blocks by token range, as many
+   as the tokens need for a block to be small. Nothing is capped: neighbourhoods only say where a pair is compared.
+4. Candidates must pass a bound from counts of tokens by hash cell and then the other orders, whose prefixes travel cut
+   to 32 bits (that can only let more pass). Whole sets travel for the pairs that are left alone, and are compared exactly.
 5. Components of the links.
 
 Similarities are exact on the hashed sets (two shingles of one pair share a hash once in 1e13 pairs of documents).
 Defined cases: null text and texts without words have an empty set, link with nothing and are their own component; a
 text of fewer words than a shingle is one token; repeated rows are one class; a component's id is its smallest id,
-nulls left out; a component of only null ids has null; other columns do not matter; an empty table gives no rows.
+nulls left out; a component of only null ids has null; other columns do not matter, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.llm.components import components
-from rasterweave.llm.shared import materialize, sized_join, text_batches
+from rasterweave.llm.shared import buckets_for, dealt, discard, keep_rows, materialize, named, partitions, sized_join, spread, text_batches
 from rasterweave.llm.streams import sorted_groups, trimmed
 from rasterweave.llm.textfn import filled
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, mix, word_hashes
@@ -48,8 +52,8 @@ ORDERS = (11, 23, 37)
 CELLS = 256
 #: Documents handled at once, tokens whose repeats a task counts at once, and prefix tokens held before they are sent.
 SLICE, COUNTED, HELD = 500, 3_000_000, 1_500_000
-#: Classes of a block of a neighbourhood; larger ones are compared block by block.
-BLOCK_CLASSES = 500
+#: Classes on each side of a block of a neighbourhood; larger ones are compared block by block.
+BLOCK_CLASSES = 250
 
 _STEP = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,8 +81,16 @@ def shingle_sets(texts: list[bytes | None], words: int = WORDS) -> list[np.ndarr
     return out
 
 
-def class_of(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(tokens: np.ndarray) -> tuple[int, int]:
+    """The two halves of a set's digest."""
+    raw = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+
+
+def class_of(tokens: np.ndarray, clashes: frozenset = frozenset()) -> int:
+    """The name of a set's class: the first half of its digest, the second where sets that differ share the first."""
+    first, second = digests(tokens)
+    return second if first in clashes else first
 
 
 def depth(n):
@@ -91,11 +103,14 @@ def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
 
 
 class TokenOrders:
-    """Global orders: tokens not listed as frequent first, by a seeded hash; then the listed ones, rarest first."""
+    """Global orders: tokens not listed as frequent first, by a seeded hash; then the listed ones, rarest first.
+
+    ``clashes``: first halves of digests that several sets share, for whoever names classes.
+    """
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray, clashes: frozenset = frozenset()):
         at = np.argsort(tokens)
-        self.tokens, self.counts = tokens[at], counts[at]
+        self.tokens, self.counts, self.clashes = tokens[at], counts[at], clashes
 
     def prefix(self, own: np.ndarray, seed: int, threshold: int = THRESHOLD) -> np.ndarray:
         key = mix(own ^ np.uint64(seed))
@@ -150,6 +165,21 @@ def links_between(left: list[np.ndarray], right: list[np.ndarray] | None, orders
     return np.stack([i[linked], j[linked]], 1)
 
 
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each pair of arrays has in common, repeated ones as often as both have them."""
+    n = len(left)
+    pair = np.concatenate([np.repeat(np.arange(n), [len(x) for x in side]) for side in (left, right)])
+    values = np.concatenate([*left, *right]) if n else np.zeros(0, np.uint64)
+    ours = np.arange(len(values)) < sum(map(len, left))
+    order = np.lexsort((values, pair))
+    pair, values, ours = pair[order], values[order], ours[order]
+    at = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (values[1:] != values[:-1]))[: len(pair)])
+    if not len(at):
+        return np.zeros(n, np.int64)
+    mine = np.add.reduceat(ours.astype(np.int64), at)
+    return np.bincount(pair[at], np.minimum(mine, np.diff(np.append(at, len(pair))) - mine), n).astype(np.int64)
+
+
 def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
     """A star from each connected part's first member to its others: as many rows as members at most."""
     parent = np.arange(size)
@@ -167,15 +197,16 @@ def spanning(pairs: np.ndarray, size: int) -> np.ndarray:
 
 def _key(text_col: str) -> Column:
     """What tells rows of one id apart: a hash of the text."""
-    return F.xxhash64(filled(F.col(text_col)))
+    return F.xxhash64(filled(named(text_col)))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), _key(text_col).alias("key"))
+    return text_batches(spread(docs)).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").cast("binary").alias("text"), _key(text_col).alias("key"))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """kind 0: a document (doc_id, n, class, sketch, key); kind 1: a token that a task met in several documents, n times."""
+    """kind 0: a document (doc_id, n, class, other half of the digest, sketch, key); kind 1: a token that a task met in several documents, n times."""
+    names = ["kind", "doc_id", "n", "class", "other", "sketch", "key"]
 
     def run(batches):
         tokens: list[np.ndarray] = []
@@ -184,20 +215,21 @@ def _sets(rows: DataFrame) -> DataFrame:
             values, n = np.unique(np.concatenate(tokens), return_counts=True) if tokens else (np.zeros(0, np.uint64), np.zeros(0, int))
             use = n >= 3
             values, n, k = values[use].astype(np.int64), n[use], int(use.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, pa.int64()), pa.array(n, pa.int64()), pa.array(values, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.int64())], names=["kind", "doc_id", "n", "class", "sketch", "key"])
+            none = pa.nulls(k, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), none, pa.array(n, pa.int64()), pa.array(values, pa.int64()), none, pa.nulls(k, pa.list_(pa.int64())), none], names=names)
 
         held, seen = 0, set()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 sets = shingle_sets(part.column(1).to_pylist())
-                classes = [class_of(s) for s in sets]
+                halves = [digests(s) for s in sets]
                 sketches = [np.sort(mix(s ^ np.uint64(3)))[:SKETCH].astype(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(classes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), part.column(2)],
-                    names=["kind", "doc_id", "n", "class", "sketch", "key"],
+                    [pa.array([0] * len(sets), pa.int32()), part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*halves, strict=True)), pa.array(sketches, pa.list_(pa.int64())), part.column(2)],
+                    names=names,
                 )
-                for c, s in zip(classes, sets, strict=True):
+                for c, s in zip(halves, sets, strict=True):
                     if c not in seen:
                         seen.add(c)
                         tokens.append(s)
@@ -207,7 +239,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                     tokens, held, seen = [], 0, set()
         yield counted()
 
-    return rows.mapInArrow(trimmed(run), "kind int, doc_id long, n long, class long, sketch array<long>, key long")
+    return rows.mapInArrow(trimmed(run), "kind int, doc_id long, n long, class long, other long, sketch array<long>, key long")
 
 
 def _neighbourhoods(classes: DataFrame) -> DataFrame:
@@ -220,13 +252,15 @@ def _neighbourhoods(classes: DataFrame) -> DataFrame:
     sketch = materialize(sketch.join(some, "c"), "near-sketches")
     own, its = sketch.select(F.col("c").alias("class"), F.col("sketch").alias("s1")), sketch.select(F.col("c").alias("hub"), F.col("sketch").alias("s2"))
     alike = F.size(F.array_intersect("s1", "s2")) >= 0.25 * F.size(F.array_union("s1", "s2"))
-    near = tried.join(own, "class").join(its, "hub").filter(alike).groupBy("class").agg(F.min("hub").alias("hub"))
-    near = materialize(near, "near-hubs")
+    first = materialize(tried.join(own, "class").join(its, "hub").filter(alike).groupBy("class").agg(F.min("hub").alias("hub")), "near-hubs")
+    near = first
     for _ in range(2):
-        up = near.select(F.col("class").alias("hub"), F.col("hub").alias("top"))
+        up = first.select(F.col("class").alias("hub"), F.col("hub").alias("top"))
         near = near.join(up, "hub", "left").select("class", F.coalesce("top", "hub").alias("hub"))
-    near = materialize(near, "near-hubs")
-    return materialize(near.unionByName(near.select(F.col("hub").alias("class"), "hub")).groupBy("class").agg(F.min("hub").alias("hub")), "near-hubs")
+    out = materialize(near.withColumn("pair", F.explode(F.array("class", "hub"))).groupBy(F.col("pair").alias("class")).agg(F.min("hub").alias("hub")), "near-hubs")
+    for table in (tried, sketch, first):
+        discard(table)
+    return out
 
 
 def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.ndarray, threshold: int):
@@ -257,18 +291,28 @@ def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.n
 def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, class, key; links: a, b between classes, spanning all links of the join)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(spark)
     texts = _texts(docs, id_col, text_col)
     sets = materialize(_sets(texts), "near-sets")
-    documents = sets.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", "sketch", "key")
-    total = documents.count()
+    documents = sets.filter("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class", "other", "sketch", "key")
+    total, tokens_of_all = documents.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     frequent = sets.filter("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, total // FREQUENT_ONE_IN)).toPandas()
-    orders = TokenOrders(frequent["class"].to_numpy(np.int64).astype(np.uint64), frequent["n"].to_numpy(np.int64))
-    shared_orders = spark.sparkContext.broadcast(orders)
 
-    classes = materialize(documents.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch")), "near-classes")
+    def by_class() -> DataFrame:
+        found = documents.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.any_value("sketch").alias("sketch"), (F.min("other") != F.max("other")).alias("clash"))
+        return materialize(found, "near-classes")
+
+    classes = by_class()
+    clashes = frozenset(r["class"] for r in classes.filter("clash").select("class").collect())
+    if clashes:  # n * n / 2 ** 65 of them in n sets
+        documents = documents.withColumn("class", F.when(F.col("class").isin(*clashes), F.col("other")).otherwise(F.col("class")))
+        classes = by_class()
+    documents = documents.drop("other")
+    shared_orders = spark.sparkContext.broadcast(TokenOrders(frequent["class"].to_numpy(np.int64).astype(np.uint64), frequent["n"].to_numpy(np.int64), clashes))
     hubs = _neighbourhoods(classes)
     placed = materialize(sized_join(documents, hubs, "class", "inner").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class"), "hub").distinct(), "near-placed")
+    # a prefix is 3 in 10 tokens at most, but for very small sets, and a record 28 bytes
+    buckets = buckets_for(spark, int(tokens_of_all) * 9)
 
     def prefixes(batches):
         held, size = [], 0
@@ -280,10 +324,10 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             token, cls, hub, n = token[order], cls[order], hub[order], n[order]
             fresh = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])) if len(token) else np.zeros(0, bool)
             token, cls, hub, n = token[fresh], cls[fresh], hub[fresh], n[fresh]
-            bucket = ((token >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            bucket = ((token >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             for alone in (True, False):  # a class that is a neighbourhood of its own needs no second name
                 use = (hub == cls) == alone
-                edges = np.searchsorted(bucket[use], np.arange(parts + 1))
+                edges = np.searchsorted(bucket[use], np.arange(buckets + 1))
                 t, c, h, s = token[use], cls[use], hub[use], n[use]
                 some = np.flatnonzero(np.diff(edges))
                 packed = [b"".join(x[edges[k] : edges[k + 1]].tobytes() for x in ((t, c, s) if alone else (t, c, s, h))) for k in some]
@@ -294,7 +338,7 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             for at in range(0, batch.num_rows, SLICE):
                 for k, own in enumerate(shingle_sets(batch.slice(at, SLICE).column(0).to_pylist())):
                     if len(own):
-                        c = class_of(own)
+                        c = class_of(own, known.clashes)
                         p = known.prefix(own, ORDERS[0], threshold)
                         held.append((p, np.full(len(p), c, np.int64), np.full(len(p), hub[at + k] if named[at + k] == c else c, np.int64), np.full(len(p), len(own), np.uint32)))
                         size += len(p)
@@ -338,26 +382,31 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
                 yield counted()
 
     labelled = sized_join(texts, placed, texts["doc_id"].eqNullSafe(placed["__id"]), "left").select("text", "__class", "hub")
-    dealt = labelled.mapInArrow(trimmed(prefixes), "bucket int, alone boolean, packed binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    met = dealt.mapInArrow(trimmed(meet), "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
-    apart = materialize(met.filter("n >= need").select("a", "b"), "near-apart")
+    packed = dealt(labelled.mapInArrow(trimmed(prefixes), "bucket int, alone boolean, packed binary"), buckets)
+    met = packed.mapInArrow(trimmed(meet), "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    stars = hubs.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
+    apart = materialize(met.filter("n >= need").select("a", "b").unionByName(stars), "near-apart")
+    discard(placed)
 
     # The sets of all classes that are compared, each once.
-    compared = apart.select(F.col("a").alias("class")).unionByName(apart.select(F.col("b").alias("class"))).unionByName(hubs.select("class")).distinct()
+    compared = apart.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     compared = materialize(classes.join(compared, "class").select(F.col("doc_id").alias("__id"), F.col("class").alias("__class")), "near-compared")
 
     def tokens(batches):
+        known = shared_orders.value
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            sets = shingle_sets(batch.column("text").to_pylist())
-            keep = [k for k, (s, c) in enumerate(zip(sets, batch.column("__class").to_pylist(), strict=True)) if class_of(s) == c]
-            cells = [np.minimum(np.bincount((sets[k] >> np.uint64(24)) % np.uint64(CELLS), minlength=CELLS), 255).astype(np.uint8).tobytes() for k in keep]
+            found = zip(shingle_sets(batch.column("text").to_pylist()), batch.column("__class").to_pylist(), strict=True)
+            kept = [(c, s) for s, c in found if class_of(s, known.clashes) == c]
+            cells = [np.minimum(np.bincount((s >> np.uint64(24)) % np.uint64(CELLS), minlength=CELLS), 255).astype(np.uint8).tobytes() for _, s in kept]
+            first = [b"".join(known.prefix(s, seed, threshold).astype(np.uint32).tobytes() for seed in ORDERS[1:]) for _, s in kept]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__class").take(pa.array(keep, pa.int64())), pa.array([len(sets[k]) for k in keep], pa.int64()), pa.array(cells, pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary())],
-                names=["class", "n", "cells", "tokens"],
+                [pa.array([c for c, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array(cells, pa.binary()), pa.array(first, pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
+                names=["class", "n", "cells", "prefixes", "tokens"],
             )
 
     wanted = sized_join(texts, compared, texts["doc_id"].eqNullSafe(compared["__id"]), "inner").select("__class", "text")
-    sets_of = materialize(wanted.mapInArrow(trimmed(tokens), "class long, n long, cells binary, tokens binary"), "near-tokens")
+    sets_of = materialize(wanted.mapInArrow(trimmed(tokens), "class long, n long, cells binary, prefixes binary, tokens binary"), "near-tokens")
+    discard(compared)
 
     def possible(batches):
         for batch in batches:
@@ -367,49 +416,66 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
             a, b = (np.frombuffer(b"".join(batch.column(x).to_pylist()), np.uint8).reshape(-1, CELLS) for x in ("cells_a", "cells_b"))
             most = np.minimum(a, b).sum(1, dtype=np.int64)
             full = ((a == 255) | (b == 255)).any(1)
-            yield batch.filter(pa.array(full | (100 * most >= threshold * (n_a + n_b - most)))).select(["a", "b"])
+            left = np.flatnonzero(full | (100 * most >= threshold * (n_a + n_b - most)))
+            need = depth(np.minimum(n_a, n_b))
+            for k in range(len(ORDERS) - 1):
+                if len(left):
+                    sides = [[np.split(np.frombuffer(x, np.uint32), len(ORDERS) - 1)[k] for x in batch.column(c).take(pa.array(left)).to_pylist()] for c in ("prefixes_a", "prefixes_b")]
+                    left = left[shared_counts(*sides) >= need[left]]
+            yield batch.take(pa.array(left)).select(["a", "b"])
 
     def side(name: str, columns: list[str]) -> DataFrame:
         return sets_of.select(F.col("class").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns]).hint("merge")
 
     def verify(batches):
-        known = shared_orders.value
-        for batch in batches:
-            a, b = batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()
-            linked = [len(links_between([np.frombuffer(x, np.uint64)], [np.frombuffer(y, np.uint64)], known, threshold)) > 0 for x, y in zip(a, b, strict=True)]
-            yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("tokens_a", "tokens_b"))
+            both = shared_counts(a, b)
+            either = np.array([len(x) + len(y) for x, y in zip(a, b, strict=True)], np.int64) - both
+            yield batch.filter(pa.array(100 * both >= threshold * either)).select(["a", "b"])
 
-    likely = apart.join(side("a", ["n", "cells"]), "a").join(side("b", ["n", "cells"]), "b").select("a", "b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(trimmed(possible), "a long, b long")
+    seen = ["n", "cells", "prefixes"]
+    likely = apart.join(side("a", seen), "a").join(side("b", seen), "b").select("a", "b", *(f"{c}_{x}" for c in seen for x in "ab")).mapInArrow(trimmed(possible), "a long, b long")
     likely = materialize(likely, "near-likely")
     # Whole sets travel only for the pairs that are left, and to their neighbourhood's block.
-    verified = materialize(likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct(), "near-verified")
+    verified = materialize(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "near-verified")
     sets_of_pairs = sized_join(sets_of.select("class", "tokens"), verified, "class", "left_semi")
 
     def whole(name: str) -> DataFrame:
         return sets_of_pairs.select(F.col("class").alias(name), F.col("tokens").alias(f"tokens_{name}")).hint("merge")
 
     crossing = likely.join(whole("a"), "a").join(whole("b"), "b").select("a", "b", "tokens_a", "tokens_b").mapInArrow(trimmed(verify), "a long, b long")
+    crossing = materialize(crossing, "near-links")
+    for table in (apart, likely, verified):
+        discard(table)
 
     def inside(batches):
         known = shared_orders.value
-        for (_, low, high), group in sorted_groups(batches, 3):
-            part, names, raw = (group.column(x).to_pylist() for x in ("part", "class", "tokens"))
-            each = {c: (p, np.frombuffer(r, np.uint64)) for p, c, r in zip(part, names, raw, strict=True)}
-            left = [c for c, (p, _) in each.items() if p == low]
-            right = [c for c, (p, _) in each.items() if p == high] if high != low else None
-            pairs = links_between([each[c][1] for c in left], None if right is None else [each[c][1] for c in right], known, threshold)
-            nodes = np.array(left + (right or []), np.int64)
-            if right is not None and len(pairs):
-                pairs[:, 1] += len(left)
-            star = spanning(pairs, len(nodes))
+        for _, group in sorted_groups(batches, 3):
+            loose, names = (np.asarray(group.column(x)) for x in ("loose", "class"))
+            raw = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+            left, right = np.flatnonzero(loose), np.flatnonzero(~loose)
+            pairs = links_between([raw[k] for k in left], [raw[k] for k in right], known, threshold)
+            nodes, place = np.unique(names, return_inverse=True)
+            star = spanning(np.stack([place[left][pairs[:, 0]], place[right][pairs[:, 1]]], 1), len(nodes))
             yield pa.RecordBatch.from_arrays([pa.array(nodes[star[:, 0]], pa.int64()), pa.array(nodes[star[:, 1]], pa.int64())], names=["a", "b"])
 
-    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("hub", F.ceil(F.col("m") / BLOCK_CLASSES).cast("int").alias("k"))
-    members = hubs.join(sizes, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("k")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    members = materialize(members.select("hub", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "class"), "near-members")
-    members = sized_join(sets_of.select("class", "tokens"), members, "class", "inner").select("hub", "low", "high", "part", "class", "tokens")
-    members = members.repartition(parts, "hub", "low", "high").sortWithinPartitions("hub", "low", "high")
+    # Classes that are not linked with their hub meet all of its neighbourhood, block by block.
+    loose = materialize(stars.join(crossing, ["a", "b"], "left_anti").select(F.col("a").alias("hub"), F.col("b").alias("class")), "near-loose")
+    if not loose.limit(1).count():
+        return documents.drop("sketch"), crossing
+    some = lambda n: F.ceil(F.col(n) / BLOCK_CLASSES).cast("int")
+    sizes = loose.groupBy("hub").agg(F.count(F.lit(1)).alias("m")).join(hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("all")), "hub")
+    sizes = materialize(sizes.select("hub", some("m").alias("rows"), some("all").alias("columns")), "near-sizes")
+    part = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = loose.join(sizes, "hub").select("hub", part("rows").alias("row"), every("columns").alias("col"), F.lit(True).alias("loose"), "class", "columns")
+    right = hubs.join(sizes, "hub").select("hub", every("rows").alias("row"), part("columns").alias("col"), F.lit(False).alias("loose"), "class", "columns")
+    # the blocks of a neighbourhood go to one task after the other
+    place = ((F.pmod(F.xxhash64("hub"), F.lit(parts)) + F.col("row") * F.col("columns") + F.col("col")) % parts).cast("int")
+    members = materialize(left.unionByName(right).withColumn("place", place).drop("columns"), "near-members")
+    members = sized_join(sets_of.select("class", "tokens"), members, "class", "inner").select("hub", "row", "col", "loose", "class", "tokens", "place")
+    members = members.repartitionById(parts, "place").sortWithinPartitions("hub", "row", "col")
     links = materialize(members.mapInArrow(trimmed(inside), "a long, b long").unionByName(crossing), "near-links")
     return documents.drop("sketch"), links
 
@@ -438,12 +504,5 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     first = F.col("none") | F.col("doc_id").eqNullSafe(F.col("component_id"))
     chosen = materialize(several.filter(first).groupBy("label", "none").agg(F.min("key").alias("chosen")), "near-chosen")
     others = sized_join(several, chosen, ["label", "none"], "left").filter(~(first & (F.col("key") == F.col("chosen"))))
-    dropped = materialize(others.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key2")).distinct(), "near-dropped")
-    same = [F.col("doc_id").eqNullSafe(F.col("__id")), F.col("__key") == F.col("__key2")]
-    left = sized_join(docs.withColumn("__key", _key("text")), dropped, same, "left_anti")
-    repeats = found.filter("label is not null or n_shingles = 0").groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key2")).agg(F.count(F.lit(1)).alias("n"))
-    repeats = materialize(repeats.filter("n > 1").drop("n"), "near-repeats")
-    if repeats.count():
-        once = sized_join(left, repeats, same, "left_semi").dropDuplicates(["doc_id", "__key"])
-        left = sized_join(left, repeats, same, "left_anti").unionByName(once)
-    return left.drop("__key")
+    repeats = found.filter("label is not null or n_shingles = 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return keep_rows(docs, _key("text"), others.select("doc_id", "key").distinct(), repeats)

@@ -84,10 +84,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, its rows dealt out over all cores if it is so small that its few files or row groups leave cores idle."""
+    """``df``, its rows dealt out over all cores if it is so small, less than a quarter of a split for each, that its few files
+    or row groups would leave cores idle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if input_bytes(df) <= cores * split else df
+    return df.repartition(cores) if 4 * input_bytes(df) <= cores * split else df
 
 
 def text_batches(df: DataFrame) -> DataFrame:
