@@ -3,6 +3,9 @@
 Features are cut into at most ``BINS`` bins at sample quantiles; every split is found from histograms of gradients.
 A model is flat arrays: for all trees one array each of feature, threshold, children and value, so that all rows
 go down a tree together.
+
+Defined cases: without rows every score is a half; labels of one kind give their share, kept off 0 and 1, everywhere; a
+value equal to a threshold goes left; equal rows have equal scores; features that are all equal are never split.
 """
 
 from __future__ import annotations

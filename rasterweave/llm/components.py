@@ -1,4 +1,8 @@
-"""Connected components of a link table by smallest-label propagation with pointer jumping."""
+"""Connected components of a link table by smallest-label propagation with pointer jumping.
+
+Defined cases: repeated links and links in both directions are one link; a link of a node with itself, or with null, is
+none; nodes without any other link are not in the result; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -54,6 +54,8 @@ CELLS = 256
 SLICE, COUNTED, HELD = 500, 3_000_000, 1_500_000
 #: Classes on each side of a block of a neighbourhood; larger ones are compared block by block.
 BLOCK_CLASSES = 250
+#: Classes that share a prefix token, beyond which their pairs are other tasks' work, so many on each side at once.
+HOT_TOKEN, HOT_CLASSES = 2_000, 1_000
 
 _STEP = np.random.default_rng(5).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -288,6 +290,31 @@ def _pairs_apart(token: np.ndarray, cls: np.ndarray, hub: np.ndarray, size: np.n
         at = upto
 
 
+def _hot_units(cls: np.ndarray, hub: np.ndarray, size: np.ndarray, threshold: int):
+    """The pairs of one token's classes as work for other tasks: (packed classes, how many are on the left; 0: all on both)."""
+    order = np.argsort(size, kind="stable")
+    cls, hub, size = cls[order], hub[order], size[order].astype(np.uint32)
+    parts = [slice(at, at + HOT_CLASSES) for at in range(0, len(cls), HOT_CLASSES)]
+    packed = lambda *of: b"".join(np.concatenate([x[p] for p in of]).tobytes() for x in (cls, hub, size))
+    for k, left in enumerate(parts):
+        yield packed(left), 0
+        for right in parts[k + 1 :]:
+            if 100 * int(size[left][-1]) < threshold * int(size[right][0]):
+                break
+            yield packed(left, right), len(cls[left])
+
+
+def _pairs_of_unit(raw: bytes, cut: int, threshold: int):
+    """(class, class, tokens needed) of a unit's pairs of different neighbourhoods and near enough in size."""
+    n = len(raw) // 20
+    cls, hub, size = np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<u4", n, 16 * n).astype(np.int64)
+    i, j = (np.repeat(np.arange(cut), n - cut), np.tile(np.arange(cut, n), cut)) if cut else np.triu_indices(n, 1)
+    small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    near = (hub[i] != hub[j]) & (100 * small >= threshold * large)
+    a, b = cls[i[near]], cls[j[near]]
+    return np.minimum(a, b), np.maximum(a, b), depth(small[near])
+
+
 def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n_shingles, class, key; links: a, b between classes, spanning all links of the join)."""
     spark = docs.sparkSession
@@ -348,6 +375,8 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
         if held:
             yield from flush()
 
+    names = ["a", "b", "n", "need", "unit"]
+
     def meet(batches):
         for _, group in sorted_groups(batches, 1):
             cols: list[list[np.ndarray]] = [[], [], [], []]
@@ -371,9 +400,17 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
                 a, b, need = a[order], b[order], need[order]
                 at = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
                 n = np.diff(np.append(at, len(a)))
-                return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n.astype(np.int64)), pa.array(need[at].astype(np.int64))], names=["a", "b", "n", "need"])
-
-            for part in _pairs_apart(token[shared], cls[shared], hub[shared], size[shared].astype(np.int64), threshold):
+                return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(n.astype(np.int64)), pa.array(need[at].astype(np.int64)), pa.nulls(len(at), pa.binary())], names=names)
+
+            token, cls, hub, size = token[shared], cls[shared], hub[shared], size[shared]
+            at = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+            many = np.diff(np.append(at, len(token)))
+            for k in np.flatnonzero(many > HOT_TOKEN):
+                own = slice(at[k], at[k] + many[k])
+                for unit, cut in _hot_units(cls[own], hub[own], size[own], threshold):
+                    yield pa.RecordBatch.from_arrays([pa.array([cut], pa.int64()), *(pa.array([0], pa.int64()),) * 3, pa.array([unit], pa.binary())], names=names)
+            cool = np.repeat(many <= HOT_TOKEN, many)
+            for part in _pairs_apart(token[cool], cls[cool], hub[cool], size[cool].astype(np.int64), threshold):
                 found.append(part)
                 if sum(len(x[0]) for x in found) > 2_000_000:
                     yield counted()
@@ -383,10 +420,22 @@ def near_links(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_i
 
     labelled = sized_join(texts, placed, texts["doc_id"].eqNullSafe(placed["__id"]), "left").select("text", "__class", "hub")
     packed = dealt(labelled.mapInArrow(trimmed(prefixes), "bucket int, alone boolean, packed binary"), buckets)
-    met = packed.mapInArrow(trimmed(meet), "a long, b long, n long, need long").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    met = materialize(packed.mapInArrow(trimmed(meet), "a long, b long, n long, need long, unit binary"), "near-met")
+
+    def crossed(batches):
+        for batch in batches:
+            for raw, cut in zip(batch.column("unit").to_pylist(), batch.column("a").to_pylist(), strict=True):
+                a, b, need = _pairs_of_unit(raw, cut, threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), np.int64)), pa.array(need.astype(np.int64))], names=names[:4])
+
+    pairs, units = met.filter("unit is null").drop("unit"), met.filter("unit is not null")
+    if units.limit(1).count():
+        pairs = pairs.unionByName(units.select("a", "unit").repartition(parts).mapInArrow(trimmed(crossed), "a long, b long, n long, need long"))
+    met_often = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")).filter("n >= need").select("a", "b")
     stars = hubs.filter("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b"))
-    apart = materialize(met.filter("n >= need").select("a", "b").unionByName(stars), "near-apart")
-    discard(placed)
+    apart = materialize(met_often.unionByName(stars), "near-apart")
+    for table in (placed, met):
+        discard(table)
 
     # The sets of all classes that are compared, each once.
     compared = apart.select(F.explode(F.array("a", "b")).alias("class")).distinct()
