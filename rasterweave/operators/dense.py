@@ -1,11 +1,13 @@
 """Running numpy kernels over images in dense form, many images of one size at a time.
 
 ``images``: image_id, width, height and int arrays (``p``, or ``p_<column>``), a row an image. Rows stay where they
-are: nothing is shuffled, an Arrow batch is one stack of arrays, and a kernel sees (images, height, width).
+are: an Arrow batch is one stack of arrays, a kernel sees (images, height, width), and nothing is shuffled, but for tables
+so small that their files would leave cores idle: these are dealt out first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +18,20 @@ from pyspark.sql import functions as F
 ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
 
 
+def input_bytes(df: DataFrame) -> int:
+    """What the optimizer takes ``df`` to hold: for tables, the size of their files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt out over all cores if it is read from files and so small, less than a quarter of a split for
+    each core, that its few files or row groups would leave cores idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    shuffled = re.search(r"\b(Aggregate|Join|Window|Repartition|Sort)", df._jdf.queryExecution().optimizedPlan().toString())
+    return df.repartition(cores) if not shuffled and 4 * input_bytes(df) <= cores * split else df
+
+
 def _stacks(batch: pa.RecordBatch, planes: list[str]):
     """(image ids, planes as (n, h, w), places in the batch) of each size in a batch."""
     width, height = (np.asarray(batch.column(c)) for c in ("width", "height"))
@@ -48,7 +64,7 @@ def to_pixels(images: DataFrame, kernel: Callable, outputs: dict[str, str], plan
                 )
 
     schema = "image_id long, y int, x int, " + ", ".join(f"{n} {k}" for n, k in (outputs | carry).items())
-    return images.select("image_id", "width", "height", *planes, *carry).mapInArrow(run, schema)
+    return spread(images).select("image_id", "width", "height", *planes, *carry).mapInArrow(run, schema)
 
 
 def to_rows(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes: tuple[str, ...] = ("p",)) -> DataFrame:
@@ -62,7 +78,7 @@ def to_rows(images: DataFrame, kernel: Callable, outputs: dict[str, str], planes
                 found = found if isinstance(found, tuple) else (found,)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), *(pa.array(np.asarray(f)).cast(k) for f, k in zip(found, kinds, strict=True))], names=["image_id", *names])
 
-    return images.select("image_id", "width", "height", *planes).mapInArrow(run, "image_id long, " + ", ".join(f"{n} {k}" for n, k in outputs.items()))
+    return spread(images).select("image_id", "width", "height", *planes).mapInArrow(run, "image_id long, " + ", ".join(f"{n} {k}" for n, k in outputs.items()))
 
 
 def dense_rgb(px3: DataFrame) -> DataFrame:

@@ -771,7 +771,7 @@ def create_image(spark, d):
 @query(f"WITH {PX} SELECT image_id, y, x, v FROM px")
 def framewire_roundtrip(spark, d):
     wire = Serial(spark, framewire.wire_folder(spark))
-    wire.send_images(_packed(spark, d).repartition(4, "image_id"), named=True)
+    wire.send_images(_packed(spark, d), named=True)
     return images.pixels_of(wire.named_images()).select("image_id", "y", "x", "v")
 
 
