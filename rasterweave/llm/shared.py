@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterweave.operators.dense import input_bytes, spread  # noqa: F401
+
 #: Most rows of a side that may be broadcast, and most bytes of a column of varying width; larger sides take the
 #: shuffled join instead.
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32_000_000
@@ -78,19 +80,6 @@ def dealt(df: DataFrame, buckets: int, column: str = "bucket", *order: str) -> D
     return df.repartitionById(parts, (F.col(column).cast("long") * parts / buckets).cast("int")).sortWithinPartitions(column, *order)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """What the optimizer takes ``df`` to hold: for tables, the size of their files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """``df``, its rows dealt out over all cores if it is so small, less than a quarter of a split for each, that its few files
-    or row groups would leave cores idle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if 4 * input_bytes(df) <= cores * split else df
-
-
 def text_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session set to send Python at most ``BATCH_ROWS`` rows at once (fewer if it is set so)."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
