@@ -3,11 +3,13 @@
 An example is a vector (tokens, 1 segment, loss-bearing tokens), each part relative to its limit. The open
 sequence has a vector of room; of the waiting examples that fit, the one with the largest dot product with the
 room goes in, until none fits. Where examples may be cut, one more is then cut to fill the sequence to the last
-token. A task packs what it reads, in blocks of waiting examples, so nothing is shuffled and memory is bounded;
-what it has left at its end is cut into sequences whose lengths are powers of two, which need no padding.
+token. A task packs what it reads, in blocks of waiting examples, so nothing is shuffled and memory is bounded (a
+table so small that it would leave cores idle is dealt out first). A sequence that closes before it is full, for another
+limit or at the task's end, is cut into sequences whose lengths are powers of two, which need no padding.
 
 Defined cases: null text is empty and packs as its end id alone; repeated rows and ids are packed as rows of
-their own; null ids stay null; columns other than id and text are not read; an empty table gives no pieces.
+their own; null ids stay null; columns other than id, text and prompt are not read, whatever their names; a null or
+negative prompt is 0; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import text_batches
+from rasterweave.llm.shared import named, spread, text_batches
 from rasterweave.llm.streams import trimmed
-from rasterweave.llm.tokens import SLICE, encoder
+from rasterweave.llm.tokens import encoder
 
 #: Examples that wait at once in a task; the heuristic looks at all of them for each placement.
 WAITING = 1024
+#: Texts tokenised before their examples are placed.
+SLICE = 1_000
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -131,11 +135,13 @@ def pack_documents(
     """Tokenises and packs every document: a row per piece, with its ids (little-endian unsigned 32-bit).
 
     ``loss_from_col``: column with the number of leading tokens that bear no loss (a prompt); none: all tokens
-    bear loss. ``max_loss``: most loss-bearing tokens of a sequence; None: as many as tokens.
+    bear loss. ``max_loss``: most loss-bearing tokens of a sequence, 1 at least; None: as many as tokens.
     """
-    loss_from = F.coalesce(F.col(loss_from_col).cast("long"), F.lit(0)) if loss_from_col else F.lit(0).cast("long")
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), loss_from.alias("prompt"))
-    limits = (max_tokens, max_segments, max_loss or max_tokens)
+    if max_loss is not None and max_loss < 1:
+        raise ValueError("max_loss must be 1 at least")
+    loss_from = F.greatest(F.coalesce(named(loss_from_col).cast("long"), F.lit(0)), F.lit(0)) if loss_from_col else F.lit(0).cast("long")
+    rows = text_batches(spread(docs)).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").cast("binary").alias("text"), loss_from.alias("prompt"))
+    limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
 
     def run(batches):
         encode = encoder(tokenizer).encode
@@ -146,7 +152,7 @@ def pack_documents(
         def rows_of(sequences):
             nonlocal sequence
             cols: list[list] = [[] for _ in range(7)]
-            for pieces in sequences:
+            for pieces in (x for s in sequences for x in ([s] if sum(p[2] for p in s) == max_tokens else power_of_two_tail(s))):
                 offset = 0
                 for key, start, n in pieces:
                     doc_id, ids, left = held[key]
@@ -178,9 +184,7 @@ def pack_documents(
                     items[k] = (serial, 0, n + 1, max(0, n + 1 - prompts[k]))
                     serial += 1
                 yield from rows_of(packer.take(items))
-        rest = list(packer.take(np.zeros((0, 4), np.int64), last=True))
-        closed = [x for s in rest for x in ([s] if sum(p[2] for p in s) == max_tokens else power_of_two_tail(s))]
-        yield from rows_of(closed)
+        yield from rows_of(packer.take(np.zeros((0, 4), np.int64), last=True))
 
     def table(cols):
         kinds = [pa.int64()] * 6 + [pa.binary()]

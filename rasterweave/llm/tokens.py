@@ -4,6 +4,9 @@ The tokenizer file must drop white space and end each word's last token with ``<
 the ids of its blank-separated words in turn. A worker remembers the first ``REMEMBERED`` words that it meets, so
 memory stays bounded; other words are encoded once in each batch. Special strings such as ``<|endoftext|>`` are
 matched before lower-casing, so texts that hold ``<|`` keep their case.
+
+Defined cases: a null text is the empty one and has no ids; repeated texts are encoded alike, each by itself; a text of
+any length is encoded whole; no texts give no ids.
 """
 
 from __future__ import annotations
@@ -13,11 +16,13 @@ from itertools import chain
 
 import numpy as np
 
+from rasterweave.llm.wordhash import blocks
+
 #: Words that a worker remembers, and words in a line handed to the tokenizer at once.
 REMEMBERED = 400_000
 LINE_WORDS = 256
-#: Texts to encode at once.
-SLICE = 1_000
+#: Bytes of text to encode at once; a single longer text is encoded as a whole.
+SLICE_BYTES = 4 << 20
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -131,6 +136,11 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in turn, and how many each text has. Null is the empty text."""
+        parts = [self._encode(texts[a:b]) for a, b in blocks(texts, SLICE_BYTES)]
+        none = np.zeros(0, self.ids.dtype), np.zeros(0, np.int64)
+        return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
+
+    def _encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         look, places, words = self.index.__getitem__, [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
