@@ -1,17 +1,20 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is cut into sentences: after a word that ends in ``. ! ?``, at the end of a line, and, so that passages without
-punctuation are cut alike wherever they stand, after a word whose hash falls into one class of ``CUT_EVERY``.
+punctuation are cut alike wherever they stand, after a word whose hash is less than those of the ``CUT_RADIUS`` words
+before it and after it in its sentence; so a cut depends on nothing beyond these, or beyond a stop.
 A span starts at every sentence and runs over at least ``MIN_SENTENCES`` sentences until it has ``MIN_WORDS`` words,
-and one ends with every sentence likewise; both are hashed. Of all spans of a hash in the whole table the first, by document id and place, stays; sentences covered
-by any other are removed.
+and one ends with every sentence likewise; both are hashed twice, to 64 and to 32 bits, by polynomials of their own, and
+count as equal only if both hashes are. Of all equal spans in the whole table the first, by document id and place,
+stays; sentences covered by any other are removed.
 
 A task first joins the spans that it has itself: all but its first of a hash are decided there, so a passage that is
-in every document travels once from each task. The rest goes, packed in blocks, to the owner of its hash range.
+in every document travels once from each task. The rest goes, packed in blocks, to the owner of its hash range; there
+are as many ranges as the table's size needs for one to be small.
 
 Defined cases: null text is empty; a text shorter than a span is kept whole; a null id comes first; rows that repeat
-an id are told apart by their text's hash, and count as one document if that is the same too; other columns do not
-matter; an empty table gives an empty result.
+an id are told apart by their text's hash, and count as one document if that is the same too; a run of one repeated word
+is not cut within; other columns do not matter, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,34 +24,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterweave.llm.shared import materialize, sized_join, text_batches
+from rasterweave.llm.shared import BUCKET_BYTES, buckets_for, dealt, input_bytes, materialize, named, partitions, sized_join, spread, text_batches
 from rasterweave.llm.streams import sorted_groups, trimmed
 from rasterweave.llm.wordhash import NOT_SPACE, blocks, mix, word_hashes
 
-MIN_WORDS, MIN_SENTENCES, CUT_EVERY = 20, 2, 10
+MIN_WORDS, MIN_SENTENCES, CUT_RADIUS = 20, 2, 4
 #: Spans that a task holds before it sends them on.
 HELD = 1_500_000
 
-_SPAN = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
+_SPAN = np.dtype([("hash", "<u8"), ("check", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _RANGE = np.dtype([("doc", "<i8"), ("tag", "<u4"), ("start", "<u4"), ("end", "<u4")])
 _NULL_ID = np.iinfo(np.int64).min
 _STOPS = np.zeros(256, bool)
 _STOPS[list(b".!?")] = True
 
 
-def text_spans(texts: list[bytes], min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES, cut_every: int = CUT_EVERY):
-    """(text index, hash, first byte, end byte) of every span of a block of texts."""
+def least_around(h: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
+    """Marks the words whose hash is less than those of the ``radius`` words before and after, all of their run."""
+    least = np.zeros(len(h), bool)
+    least[radius : len(h) - radius] = True
+    for d in range(1, radius + 1):
+        same = run[d:] == run[:-d]
+        least[d:] &= same & (h[d:] < h[:-d])
+        least[:-d] &= same & (h[:-d] < h[d:])
+    return least
+
+
+def text_spans(texts: list[bytes], min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES, cut_radius: int = CUT_RADIUS):
+    """(text index, hash, other hash, first byte, end byte) of every span of a block of texts."""
     h, edges, raw, starts, at = word_hashes(texts, NOT_SPACE)
     n = len(h)
     if not n:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     doc = np.repeat(np.arange(len(texts)), np.diff(edges))
     gap = np.flatnonzero(~NOT_SPACE[raw])
     stop = gap[np.searchsorted(gap, starts)]
     line = np.cumsum(raw == 10)[starts]
-    ends = _STOPS[raw[stop - 1]] | (h % np.uint64(cut_every) == 0)
+    ends = _STOPS[raw[stop - 1]]
     ends[:-1] |= (line[1:] != line[:-1]) | (doc[1:] != doc[:-1])
     ends[-1] = True
+    ends |= least_around(h, np.cumsum(ends) - ends, cut_radius)
     last = np.flatnonzero(ends)
     first = np.concatenate([[0], last[:-1] + 1])
     sentence_doc = doc[first]
@@ -63,24 +78,28 @@ def text_spans(texts: list[bytes], min_words: int = MIN_WORDS, min_sentences: in
     fine[fine] &= sentence_doc[back[fine]] == sentence_doc[fine]
     both = np.unique((np.concatenate([first[ok], first[back[fine]]]) << 32) | np.concatenate([last[want[ok]], last[fine]]))
     begin, finish = both >> 32, both & 0xFFFFFFFF
-    # A span's hash: a polynomial in its words' hashes, from running sums per word place in the block.
-    base = np.uint64(0xD1342543DE82EF95)
-    powers = np.ones(n + 1, np.uint64)
-    powers[1:] = np.multiply.accumulate(np.full(n, base))
-    inverse = np.ones(n + 1, np.uint64)
-    inverse[1:] = np.multiply.accumulate(np.full(n, np.uint64(pow(int(base), -1, 1 << 64))))
+    spans = _polynomial(h, begin, finish, 0xD1342543DE82EF95)
+    check = _polynomial(mix(h ^ np.uint64(0x9FB21C651E98DF25)), begin, finish, 0xAEF17502108EF2D9) >> np.uint64(32)
+    return doc[begin], spans, check.astype(np.uint32), starts[begin] - at[doc[begin]], stop[finish] - at[doc[begin]]
+
+
+def _polynomial(h: np.ndarray, begin: np.ndarray, finish: np.ndarray, odd: int) -> np.ndarray:
+    """A hash of the words' hashes of each span, from running sums: a polynomial in ``odd``, moved to one place."""
+    n = len(h)
+    powers, inverse = np.ones(n + 1, np.uint64), np.ones(n + 1, np.uint64)
+    powers[1:] = np.multiply.accumulate(np.full(n, np.uint64(odd)))
+    inverse[1:] = np.multiply.accumulate(np.full(n, np.uint64(pow(odd, -1, 1 << 64))))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers[:-1], dtype=np.uint64)])
-    spans = mix((sums[finish + 1] - sums[begin]) * inverse[begin] + (finish + 1 - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return doc[begin], spans, starts[begin] - at[doc[begin]], stop[finish] - at[doc[begin]]
+    return mix((sums[finish + 1] - sums[begin]) * inverse[begin] + (finish + 1 - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def _first_of_each(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans in order of hash, document, tag and place, the same one twice (a repeated row) once; marks firsts."""
-    spans = spans[np.lexsort((spans["start"], spans["tag"], spans["doc"], spans["hash"]))]
+    """Spans in order of both hashes, document, tag and place, the same one twice (a repeated row) once; marks firsts."""
+    spans = spans[np.lexsort((spans["start"], spans["tag"], spans["doc"], spans["check"], spans["hash"]))]
     if len(spans):
         spans = spans[np.append(True, spans[1:] != spans[:-1])]
     fresh = np.ones(len(spans), bool)
-    fresh[1:] = spans["hash"][1:] != spans["hash"][:-1]
+    fresh[1:] = (spans["hash"][1:] != spans["hash"][:-1]) | (spans["check"][1:] != spans["check"][:-1])
     return spans, fresh
 
 
@@ -131,10 +150,14 @@ def _unpacked(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
 
 def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_sentences: int = MIN_SENTENCES) -> DataFrame:
     """Byte ranges to remove: doc_id (null: the smallest long), tag (of the text), ranges (packed pairs of uint32)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # spans hold as many bytes as their texts, or half as many again: twice or thrice what lies compressed in files
+    buckets = buckets_for(docs.sparkSession, min(3 * input_bytes(docs), 64 * partitions(docs.sparkSession) * BUCKET_BYTES))
+    rows = text_batches(spread(docs)).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"))
     rows = rows.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(1 << 31)).alias("tag"), F.col("text").cast("binary").alias("text"))
 
+    def home(ranges):
+        return mix(ranges["doc"].astype(np.uint64) ^ mix(ranges["tag"].astype(np.uint64))) % np.uint64(buckets)
+
     def find(batches):
         held, size = [], 0
 
@@ -142,9 +165,9 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spans, fresh = _first_of_each(np.concatenate(held))
             ours = _ranges(spans[~fresh])
             spans = spans[fresh]
-            yield _blocks_of(spans, (spans["hash"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), False)
+            yield _blocks_of(spans, (spans["hash"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), False)
             if len(ours):
-                yield _blocks_of(ours, mix(ours["doc"].astype(np.uint64)) % np.uint64(parts), True)
+                yield _blocks_of(ours, home(ours), True)
 
         for batch in batches:
             ids, tags, texts = (batch.column(i).to_pylist() for i in range(3))
@@ -152,9 +175,9 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = np.array([_NULL_ID if x is None else x for x in ids], np.int64)
             tags = np.array(tags, np.int64).astype(np.uint32)
             for a, b in blocks(texts):
-                doc, h, start, end = text_spans([t or b"" for t in texts[a:b]], min_words, min_sentences)
+                doc, h, check, start, end = text_spans([t or b"" for t in texts[a:b]], min_words, min_sentences)
                 spans = np.zeros(len(h), _SPAN)
-                spans["hash"], spans["doc"], spans["tag"], spans["start"], spans["end"] = h, ids[a + doc], tags[a + doc], start, end
+                spans["hash"], spans["check"], spans["doc"], spans["tag"], spans["start"], spans["end"] = h, check, ids[a + doc], tags[a + doc], start, end
                 held.append(spans)
                 size += len(spans)
                 if size >= HELD:
@@ -170,7 +193,7 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             known = _unpacked(group.filter(pa.array(mask)).column("packed"), _RANGE)
             found = _ranges(np.concatenate([_ranges(spans[~fresh]), known]))
             if len(found):
-                yield _blocks_of(found, mix(found["doc"].astype(np.uint64)) % np.uint64(parts), True)
+                yield _blocks_of(found, home(found), True)
 
     def gather(batches):
         for _, group in sorted_groups(batches, 1):
@@ -184,15 +207,14 @@ def removed_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     schema = "bucket int, decided boolean, packed binary"
-    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    decided = dealt(rows.mapInArrow(trimmed(find), schema)).mapInArrow(trimmed(decide), schema)
-    return dealt(decided).mapInArrow(trimmed(gather), "doc_id long, tag long, ranges binary")
+    decided = dealt(rows.mapInArrow(trimmed(find), schema), buckets).mapInArrow(trimmed(decide), schema)
+    return dealt(decided, buckets).mapInArrow(trimmed(gather), "doc_id long, tag long, ranges binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row per document: doc_id, changed, removed_spans, removed_bytes, text (what stays of it)."""
     ranges = materialize(removed_ranges(docs, id_col, text_col, **options).withColumnRenamed("doc_id", "__id").withColumnRenamed("tag", "__tag"), "span-ranges")
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
+    rows = text_batches(spread(docs)).select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text")).withColumn("tag", F.pmod(F.xxhash64("text"), F.lit(1 << 31)))
     on = [F.coalesce("doc_id", F.lit(int(_NULL_ID))) == F.col("__id"), F.col("tag") == F.col("__tag")]
     rows = sized_join(rows, ranges, on, "left", wide="ranges").select("doc_id", "ranges", "text")
 

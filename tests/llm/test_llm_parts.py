@@ -168,7 +168,7 @@ def test_long_words_of_one_size_and_small_sets():
 def test_spans_find_a_passage_wherever_it_stands():
     passage = " ".join(f"word{k}" + ("." if k % 9 == 8 else "") for k in range(60))
     texts = [f"Alpha beta gamma {passage} the end here.", f"Quite other words before. And more\n{passage} then on", "nothing of it at all. " * 3]
-    doc, h, start, end = spans.text_spans(raw(texts))
+    doc, h, _, start, end = spans.text_spans(raw(texts))
     first, second = set(h[doc == 0].tolist()), set(h[doc == 1].tolist())
     shared = first & second
     assert len(shared) >= 3
@@ -186,7 +186,7 @@ def test_spans_find_a_passage_wherever_it_stands():
 def test_every_whole_sentence_of_a_repeated_run_is_covered(lengths, a, b):
     run = " ".join(" ".join(f"u{i}x{k}" for k in range(n)) + "." for i, n in enumerate(lengths))
     texts = [f"{'p ' * a}start. {run} {'q ' * b}end", f"{'r ' * b}begin. {run} {'s ' * a}stop"]
-    doc, h, start, end = spans.text_spans(raw(texts))
+    doc, h, _, start, end = spans.text_spans(raw(texts))
     shared = set(h[doc == 0].tolist()) & set(h[doc == 1].tolist())
     if sum(lengths) < spans.MIN_WORDS:
         return
@@ -201,6 +201,33 @@ def test_every_whole_sentence_of_a_repeated_run_is_covered(lengths, a, b):
     assert cover[inside & (text != 32)].all() and not cover[: max(0, place - 1)].any()
 
 
+def test_passages_without_stops_are_found():
+    rng, missed = np.random.default_rng(7), 0
+    word = lambda n: [f"w{k}" for k in rng.integers(0, 10**9, n)]
+    for _ in range(300):
+        passage = word(51)
+        texts = [" ".join([*word(rng.integers(0, 30)), *passage, *word(rng.integers(0, 30))]) for _ in range(2)]
+        doc, h, check, *_ = spans.text_spans(raw(texts))
+        missed += not set(zip(h[doc == 0].tolist(), check[doc == 0].tolist())) & set(zip(h[doc == 1].tolist(), check[doc == 1].tolist()))
+    assert missed <= 3
+
+
+def test_cuts_against_plain_python():
+    texts = raw(["a b c d e f g h i j k l m n o p q r s t u v w x y z " * 3, "one two. three four five six seven eight nine ten eleven twelve\nthirteen " * 4])
+    h, edges, *_ = word_hashes(texts, NOT_SPACE)
+    doc = np.repeat(np.arange(2), np.diff(edges))
+    want = [all(0 <= j < len(h) and doc[j] == doc[i] and h[i] < h[j] for j in (*range(i - 4, i), *range(i + 1, i + 5))) for i in range(len(h))]
+    assert spans.least_around(h, doc, 4).tolist() == want and any(want)
+    assert spans.least_around(h[:3], doc[:3], 4).tolist() == [False] * 3
+
+
+def test_spans_of_one_hash_but_another_check_stay():
+    s = np.zeros(4, spans._SPAN)
+    s["hash"], s["check"], s["doc"], s["end"] = 9, [1, 1, 2, 2], [1, 2, 3, 3], 5
+    found, fresh = spans._first_of_each(s)
+    assert found["doc"].tolist() == [1, 2, 3] and fresh.tolist() == [True, False, True]
+
+
 def test_ranges_are_disjoint():
     s = np.zeros(5, spans._RANGE)
     s["doc"], s["start"], s["end"] = [1, 1, 1, 2, 2], [0, 5, 20, 3, 3], [10, 12, 30, 6, 9]
