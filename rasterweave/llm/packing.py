@@ -131,11 +131,13 @@ def pack_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     loss_from_col: str | None = None,
+    remembered: int | None = None,
 ) -> DataFrame:
     """Tokenises and packs every document: a row per piece, with its ids (little-endian unsigned 32-bit).
 
     ``loss_from_col``: column with the number of leading tokens that bear no loss (a prompt); none: all tokens
-    bear loss. ``max_loss``: most loss-bearing tokens of a sequence, 1 at least; None: as many as tokens.
+    bear loss. ``max_loss``: most loss-bearing tokens of a sequence, 1 at least; None: as many as tokens. ``remembered``:
+    most words that a worker's encoder remembers, for memory only; None: the encoder's own bound.
     """
     if max_loss is not None and max_loss < 1:
         raise ValueError("max_loss must be 1 at least")
@@ -144,7 +146,7 @@ def pack_documents(
     limits = (max_tokens, max_segments, max_tokens if max_loss is None else max_loss)
 
     def run(batches):
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, remembered).encode
         packer, base = Packer(limits), TaskContext.get().partitionId() << 36
         held: dict[int, tuple] = {}  # documents with pieces still to come: id, ids, ids left
         serial, sequence = 0, 0

@@ -1,4 +1,5 @@
-"""Helpers for Arrow tasks: memory given back between batches, and rows sorted by a key read a group at a time."""
+"""Helpers for Arrow tasks: memory given back between batches and operators, and rows sorted by a key read a group at a
+time."""
 
 from __future__ import annotations
 
@@ -9,6 +10,26 @@ import numpy as np
 import pyarrow as pa
 
 
+_kept: list[tuple[str | None, dict]] = []  # the module of the tasks that filled each, and what it holds for more of them
+_module: str | None = None  # whose task this worker runs
+
+
+def keep(cache: dict) -> None:
+    """Notes that the worker holds ``cache`` for later tasks of the operator at work; a task of another one empties it."""
+    if not any(c is cache for _, c in _kept):
+        _kept.append((_module, cache))
+
+
+def _begin(module: str) -> None:
+    """Empties what other operators than ``module`` hold in this worker."""
+    global _module
+    _module = module
+    for owner, cache in _kept:
+        if owner != module:
+            cache.clear()
+    _kept[:] = [x for x in _kept if x[0] == module]
+
+
 def _release() -> None:
     """Gives freed memory back to the system; a worker lives on for other tasks, beside the JVM's heap."""
     pa.default_memory_pool().release_unused()
@@ -29,6 +50,7 @@ def trimmed(run):
                 del batch
                 _release()
 
+        _begin(run.__module__)
         try:
             yield from run(read())
         finally:

@@ -1,8 +1,9 @@
 """Token ids of whole texts through the tokenizers library, each distinct word encoded once.
 
 The tokenizer file must drop white space and end each word's last token with ``</w>``; then the ids of a text are
-the ids of its blank-separated words in turn. A worker remembers the first ``REMEMBERED`` words that it meets, so
-memory stays bounded; other words are encoded once in each batch. Special strings such as ``<|endoftext|>`` are
+the ids of its blank-separated words in turn. A worker remembers the first ``REMEMBERED`` words that it meets, or as many
+as the caller says, so memory stays bounded; other words are encoded once in each batch. Words are encoded, and ids put
+together, ``AT_ONCE`` at a time, and a task of another operator drops a worker's encoders. Special strings such as ``<|endoftext|>`` are
 matched before lower-casing, so texts that hold ``<|`` keep their case.
 
 Defined cases: a null text is the empty one and has no ids; repeated texts are encoded alike, each by itself; a text of
@@ -16,17 +17,19 @@ from itertools import chain
 
 import numpy as np
 
+from rasterweave.llm.streams import keep
 from rasterweave.llm.wordhash import blocks
 
-#: Words that a worker remembers, and words in a line handed to the tokenizer at once.
+#: Words that a worker remembers, words in a line handed to the tokenizer, and words encoded or put together at once.
 REMEMBERED = 400_000
 LINE_WORDS = 256
+AT_ONCE = 1 << 14
 #: Bytes of text to encode at once; a single longer text is encoded as a whole.
 SLICE_BYTES = 4 << 20
 
 WORD_BPE = "word_bpe_49k.json"
 
-_BY_PATH: dict[str, "WordEncoder"] = {}
+_BY_PATH: dict[tuple[str, int | None], "WordEncoder"] = {}
 
 
 def tokenizer_path(name: str = WORD_BPE) -> str:
@@ -36,12 +39,13 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str | None = None) -> "WordEncoder":
-    """The worker's encoder for a tokenizer file; None: the 49k word vocabulary."""
-    path = path or tokenizer_path()
-    if path not in _BY_PATH:
-        _BY_PATH[path] = WordEncoder(path)
-    return _BY_PATH[path]
+def encoder(path: str | None = None, remembered: int | None = None) -> "WordEncoder":
+    """The worker's encoder for a tokenizer file; None: the 49k word vocabulary. ``remembered``: see ``WordEncoder``."""
+    name = path or tokenizer_path(), remembered
+    if name not in _BY_PATH:
+        _BY_PATH[name] = WordEncoder(*name)
+    keep(_BY_PATH)
+    return _BY_PATH[name]
 
 
 class _Index(dict):
@@ -58,7 +62,9 @@ class _Index(dict):
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    """``remembered``: most words to remember; None: ``REMEMBERED``. Fewer take less memory and more time; ids are the same."""
+
+    def __init__(self, path: str, remembered: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -67,30 +73,39 @@ class WordEncoder:
         self.ends = np.zeros(size, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
-        self.index = _Index()
+        self.index, self.remembered = _Index(), remembered
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint16 if size <= 1 << 16 else np.uint32)
 
     def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in turn, and how many each has."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(found), self.ids.dtype), np.fromiter(map(len, found), np.int32, len(found))
+        out = []
+        for at in range(0, len(words), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + AT_ONCE], add_special_tokens=False)]
+            out.append((np.fromiter(chain.from_iterable(found), self.ids.dtype), np.fromiter(map(len, found), np.int32, len(found))))
+        return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
 
     def _encode_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Words of letters only: many share a line, and their last tokens mark where each ends."""
         lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
         out = []
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, self.ids.dtype)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            whole = len(stops) == len(line) and stops[-1] == len(ids)
-            out.append((ids, np.diff(stops, prepend=0)) if whole else self._encode_each(line))
+        for at in range(0, len(lines), AT_ONCE // LINE_WORDS):
+            some = lines[at : at + AT_ONCE // LINE_WORDS]
+            for line, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(x) for x in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.ids.dtype)
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                whole = len(stops) == len(line) and stops[-1] == len(ids)
+                out.append((ids, np.diff(stops, prepend=0)) if whole else self._encode_each(line))
         return np.concatenate([i for i, _ in out]), np.concatenate([n for _, n in out])
 
     def _gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words in turn, and where each begins (and the last ends)."""
-        each = self.length[place]
-        upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
-        return self.ids[np.repeat(self.start[place] - upto[:-1], each) + np.arange(upto[-1])], upto
+        upto = np.zeros(len(place) + 1, np.int64)
+        np.cumsum(self.length[place], out=upto[1:])
+        ids = np.empty(upto[-1], self.ids.dtype)
+        for at in range(0, len(place), AT_ONCE):
+            some, ends = place[at : at + AT_ONCE], upto[at : at + AT_ONCE + 1]
+            ids[ends[0] : ends[-1]] = self.ids[np.repeat(self.start[some] - ends[:-1], np.diff(ends)) + np.arange(ends[0], ends[-1])]
+        return ids, upto
 
     def _add(self, places: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         self.length[places] = counts
@@ -125,7 +140,7 @@ class WordEncoder:
 
     def _forget(self) -> None:
         """Keeps the first words only; those of this batch beyond them go."""
-        extra = len(self.index) - REMEMBERED
+        extra = len(self.index) - (REMEMBERED if self.remembered is None else self.remembered)
         if extra > 0:
             for word in self.index.new[-extra:]:
                 del self.index[word]
@@ -146,10 +161,10 @@ class WordEncoder:
             if text:
                 parts = (text if b"<|" in text else text.lower()).split()
                 words[i] = len(parts)
-                places.append(np.fromiter(map(look, parts), np.int64, len(parts)))
+                places.append(np.fromiter(map(look, parts), np.int32, len(parts)))
         if self.index.new:
             self._learn()
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
+        place = np.concatenate(places) if places else np.zeros(0, np.int32)
         ids, upto = self._gather(place)
         edges = np.concatenate([[0], np.cumsum(words)])
         counts = np.diff(upto[edges])

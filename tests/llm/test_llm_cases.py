@@ -375,3 +375,45 @@ def test_encoder_in_slices(monkeypatch):
     assert [x.tolist() for x in encode.encode([])] == [[], []]
 
 
+
+
+def test_encoder_hands_over_bounded_runs_of_words(monkeypatch):
+    words = [f"{a}{b}{c}" for a in ("al", "be", "ga") for b in ("x", "1", "é") for c in range(60)] + ["plain"] + [f"{x}{y}" for x in "abcdefgh" for y in "ijklmnop"]
+    monkeypatch.setattr(tokens, "AT_ONCE", 16)
+    monkeypatch.setattr(tokens, "LINE_WORDS", 4)
+    encode, most = WordEncoder(tokenizer_path()), []
+    tokenizer = encode.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, lines, **options):
+            most.append(sum(len(x.split()) for x in lines))
+            return tokenizer.encode_batch_fast(lines, **options)
+
+    encode.tokenizer = Watched()
+    ids, counts = encode.encode([" ".join(words).encode(), None])
+    want = tokenizer.encode(" ".join(words), add_special_tokens=False).ids
+    assert ids.tolist() == want and counts.tolist() == [len(want), 0]
+    assert sum(most) == len(words) and max(most) <= 16
+
+
+def test_a_task_of_another_operator_drops_encoders():
+    def fill(batches):
+        held.append(tokens.encoder(remembered=3))
+        yield from batches
+
+    def other(batches):
+        yield from batches
+
+    held: list = []
+    fill.__module__, other.__module__ = "one", "two"
+    for _ in range(2):
+        assert list(streams.trimmed(fill)(iter([1, 2]))) == [1, 2]
+    assert held[0] is held[1] and tokens._BY_PATH
+    assert list(streams.trimmed(other)(iter([3]))) == [3]
+    assert not tokens._BY_PATH
+
+
+def test_packing_is_the_same_whatever_is_remembered(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and other{i} words, {i}" * (i % 5)) for i in range(60)], "doc_id long, text string").coalesce(1)
+    few, many = (packing.pack_documents(docs, tokenizer_path(), remembered=n).orderBy("sequence_id", "offset").collect() for n in (2, None))
+    assert few == many and len(few) >= 60
