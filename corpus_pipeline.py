@@ -46,10 +46,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a packed sequence. Rows that repeat an id are packed each by itself; a null id stays null; an
     empty text packs as its end id alone."""
-    pieces = pack_documents(docs, tokenizer_path(WORD_BPE), end_id=1, max_tokens=2048)
+    pieces = pack_documents(docs, tokenizer_path(WORD_BPE), end_id=1, max_tokens=2048, remembered=REMEMBERED)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: Words that a worker's encoder remembers: fewer than where packing runs alone, as here the JVM's heap has grown before.
+REMEMBERED = 60_000
+
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("mixing", mixing), ("packing", packing)]
 
 #: No SQL: the classifier chain and the tokenizer are outside of it; tests/llm compares with a brute-force version.
